@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, scratch, sstable
+from . import langid, packing, quality, scratch, sstable, toxicity
+from .learning import remainder
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -24,12 +25,33 @@ def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_digests(manifest)
 
 
+def _folds(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scored.withColumn("held_out", F.coalesce(remainder(folds) == held_out, F.lit(False)))
+
+
+def op4_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scratch.table(spark, sf_dir, "documents")
+    scored = toxicity.train(docs, scratch.table(spark, sf_dir, "labels")).score(docs)
+    return _folds(scored, 5, 0).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(scratch.table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scratch.table(spark, sf_dir, "documents")
+    return _folds(langid.train(docs).score(docs), 5, 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scratch.table(spark, sf_dir, "documents")
+    scored = quality.train(docs, scratch.table(spark, sf_dir, "labels")).score(docs)
+    return _folds(scored, 4, 2).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sstable, op6_minimum_bin_slack)}
+    return {f.__name__: f for f in (op3_sstable, op4_nonnegative_pu_toxicity, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
