@@ -92,13 +92,13 @@ def segment_ids(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-def slices(column: pa.Array, most: int = 4_000_000) -> Iterator[slice]:
-    """Cut a column of texts into runs of at most ``most`` bytes, a longer text being a run of its own."""
+def slices(column: pa.Array, most: int = 4_000_000, rows: int = 60_000) -> Iterator[slice]:
+    """Cut a column of texts into runs of at most ``most`` bytes and ``rows`` texts; a longer text is a run of its own."""
     lengths = np.diff(text_bytes(column)[1])
     begin = 0
     size = 0
     for i, n in enumerate(lengths):
-        if i > begin and size + n > most:
+        if i > begin and (size + n > most or i - begin >= rows):
             yield slice(begin, i)
             begin, size = i, 0
         size += n

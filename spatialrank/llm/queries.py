@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, scratch, sstable, toxicity
+from . import langid, packing, partenum, quality, scratch, sstable, toxicity
 from .learning import remainder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -50,8 +50,12 @@ def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folds(scored, 4, 2).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join(scratch.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sstable, op4_nonnegative_pu_toxicity, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality)}
+    return {f.__name__: f for f in (op3_sstable, op4_nonnegative_pu_toxicity, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality, op9_partenum_join)}
 
 
 def oracle_sql() -> dict[str, str]:
