@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, partenum, quality, scratch, sstable, toxicity
+from . import decontaminate, langid, packing, partenum, quality, scratch, sstable, toxicity
 from .learning import remainder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op4_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folds(scored, 5, 0).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(scratch.table(spark, sf_dir, "documents"), scratch.table(spark, sf_dir, "benchmark"))
+
+
 def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(scratch.table(spark, sf_dir, "documents"), vocabulary())
 
@@ -55,7 +59,7 @@ def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sstable, op4_nonnegative_pu_toxicity, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality, op9_partenum_join)}
+    return {f.__name__: f for f in (op3_sstable, op4_nonnegative_pu_toxicity, op5_qgram_decontamination, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality, op9_partenum_join)}
 
 
 def oracle_sql() -> dict[str, str]:
