@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, partenum, quality, scratch, sstable, toxicity
+from . import decontaminate, langid, packing, partenum, pii, quality, scratch, sstable, toxicity
 from .learning import remainder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,8 +58,12 @@ def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.join(scratch.table(spark, sf_dir, "documents"))
 
 
+def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(scratch.table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sstable, op4_nonnegative_pu_toxicity, op5_qgram_decontamination, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality, op9_partenum_join)}
+    return {f.__name__: f for f in (op3_sstable, op4_nonnegative_pu_toxicity, op5_qgram_decontamination, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality, op9_partenum_join, op10_weak_supervision_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
