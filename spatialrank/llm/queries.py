@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, partenum, pii, quality, scratch, sstable, toxicity
+from . import decontaminate, langid, line_dedup, mih, packing, partenum, pii, quality, scratch, sstable, toxicity
 from .learning import remainder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,15 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(scratch.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.search(scratch.table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write(scratch.table(spark, sf_dir, "documents"), scratch.folder(spark, "shards"), vocabulary())
     return sstable.read_digests(manifest)
@@ -63,8 +72,8 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sstable, op4_nonnegative_pu_toxicity, op5_qgram_decontamination, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality, op9_partenum_join, op10_weak_supervision_pii)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_multi_index_hashing, op3_sstable, op4_nonnegative_pu_toxicity, op5_qgram_decontamination, op6_minimum_bin_slack, op7_string_kernel_language, op8_attention_quality, op9_partenum_join, op10_weak_supervision_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.SQL}

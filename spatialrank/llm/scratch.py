@@ -8,6 +8,7 @@ that setting unset, as in tests, is a local folder used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are no longer referred to, instead of at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, whatever store it is in."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
