@@ -23,6 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "id").select("id", "comp", F.least("comp", "near").alias("low"))
         jumped = lower.join(labels.select(F.col("id").alias("low"), F.col("comp").alias("lowest")), "low")
         after = scratch.materialize(jumped.select("id", F.least("low", "lowest").alias("now"), "comp"), "labels")
+        scratch.release(labels.sparkSession)
         changed = after.where("now <> comp").limit(1).count()
         labels = after.select("id", F.col("now").alias("comp"))
         if not changed:

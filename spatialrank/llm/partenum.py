@@ -40,7 +40,7 @@ from .bytesops import LOWER, _U, mix, range_hashes, slices, text_bytes, words
 from .components import components
 
 WORDS, SPARE, FEW = 5, 0.35, 6
-#: A broadcast list of identifiers is at most so long; beyond it the join is shuffled.
+#: A broadcast table of routes has at most so many; beyond it the join is shuffled.
 MOST_BROADCAST = 400_000
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | _U(1)
 
@@ -184,8 +184,13 @@ def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
         pairs = np.unique(np.stack([a[a != b], b[a != b]], 1), axis=0)
         large = sizes > FEW
         at, n = first[large], sizes[large]
+        # groups with the same members are one group: their key is a hash of the members
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids.astype(np.uint64)))])
+        names = mix(upto[at + n] - upto[at] + n.astype(np.uint64)).view(np.int64)
+        names, once = np.unique(names, return_index=True)
+        at, n = at[once], n[once]
         places = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        keys = (np.int64(rows["bucket"][0]) << 32) + marks[places].astype(np.int64)
+        keys = np.repeat(names, n)
         key = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), keys]), mask=np.arange(len(pairs) + len(keys)) < len(pairs))
         return pa.table({"key": key, "a": np.concatenate([pairs[:, 0], np.zeros(len(keys), np.int64)]), "b": np.concatenate([pairs[:, 1], ids[places]])})
 
@@ -210,30 +215,49 @@ def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.where(_near("x_", "y_")).select("a", "b").distinct()
 
 
+#: Bytes of a shingle hash that travel for verifying: two different shingles of a pair of sets share them
+#: with a probability of about 1e-9.
+_KEPT = 6
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those ``pairs(a, b)`` whose sets link.  Sets are shuffled to ``a``; a busy ``a`` is salted."""
+    """Those ``pairs(a, b)`` whose sets link.
+
+    Each document gets its routes: to (a, salt) as ``a`` itself or as a partner.  Sets are made from the text and
+    shuffled once, to their routes; a task holds one set at a time and compares partners as they come.  A busy
+    ``a`` is salted, 500 partners each.
+    """
     spark = docs.sparkSession
-    pairs = scratch.materialize(pairs, "pairs")
-    ids = scratch.materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
+    left = salts.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "a", F.lit(None).cast("long").alias("b"))
+    right = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), "a", "b")
+    routes = left.union(right).groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt", "b")).alias("routes"))
+    routes = scratch.materialize(routes, "routes")
+    wanted = F.broadcast(routes) if (routes.agg(F.sum(F.size("routes"))).first()[0] or 0) <= MOST_BROADCAST else routes
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s], pa.array([x.astype("<u8").tobytes() for x in shingles(batch.column(1)[s])], pa.binary())], names=["doc_id", "shingles"])
+            for s in slices(batch.column(1), 1 << 20):
+                found = [np.frombuffer(x.astype(">u8").tobytes(), np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes() for x in shingles(batch.column(1)[s])]
+                rows = [(r["a"], r["salt"], r["b"], data) for data, routes in zip(found, batch.column(2)[s].to_pylist(), strict=True) for r in routes]
+                for begin in range(0, len(rows), 500):
+                    part = list(zip(*rows[begin : begin + 500], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "b", "shingles"])
 
-    found = scratch.materialize(_ids_and_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "sets")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
-    left = found.withColumnRenamed("doc_id", "a").join(salts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
-    right = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), "b").join(found.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "shingles")
-    dealt = left.union(right).repartition(scratch.partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    found = _ids_and_texts(docs).join(wanted, "doc_id").select("doc_id", "text", "routes").mapInArrow(sets, "a long, salt int, b long, shingles binary")
+    dealt = found.repartition(scratch.partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+    def numbers(data: bytes) -> np.ndarray:
+        wide = np.zeros((len(data) // _KEPT, 8), np.uint8)
+        wide[:, 8 - _KEPT :] = np.frombuffer(data, np.uint8).reshape(-1, _KEPT)
+        return wide.view(">u8").ravel().astype(np.uint64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             linked = []
             for a, salt, b, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                mine = np.frombuffer(data, "<u8")
+                mine = numbers(data)
                 if (a, salt) != at:
                     at, held = (a, salt), []
                 if b is None:
@@ -246,7 +270,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                         break
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in linked], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return scratch.materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "links")
+    links = scratch.materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "links")
+    del found, dealt, routes, wanted, left, right, salts
+    scratch.release(spark)
+    return links
 
 
 def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -261,18 +288,19 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     # rows of one doc_id with different texts join their classes
     doubled = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
 
-    buckets = buckets or max(64, sets.count() // 4000)
+    buckets = buckets or max(8, sets.count() // 4000)
     found = scratch.materialize(_candidates(docs, buckets), "candidates")
+    scratch.release(spark)
     rep = lambda c: member.groupBy(F.col("doc_id").alias(c)).agg(F.min("rep").alias(f"rep_{c}"))
     stars = found.where("key IS NULL").select("a", "b").distinct().join(rep("a"), "a").join(rep("b"), "b")
     stars = stars.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).where("a < b").distinct()
     stars = scratch.materialize(_near_pairs(stars, nodes), "stars")
 
     # first each node against the smallest of its partners, then what is still apart
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = scratch.materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = verify(first, docs).union(doubled)
     label = components(links)
-    apart = _apart(stars.join(first, ["a", "b"], "left_anti"), label).union(_crossing(found, rep("b"), nodes, label)).distinct()
+    apart = scratch.materialize(_apart(stars.join(first, ["a", "b"], "left_anti"), label).union(_crossing(found, rep("b"), nodes, label)).distinct(), "apart")
     links = links.union(verify(apart, docs))
     label = components(links)
 
