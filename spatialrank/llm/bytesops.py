@@ -40,7 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i < n."""
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             out = np.full(n, base, np.uint64)
             out[0] = 1

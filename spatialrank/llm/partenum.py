@@ -127,12 +127,13 @@ def set_rows(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), 1 << 20):
                 sets = shingles(batch.column(1)[s])
                 prints = [fingerprint(x) for x in sets]
                 sketches = np.stack([sketch(x) for x in sets])
                 columns = [batch.column(0)[s], pa.array([len(x) for x in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(sketches[:, i].copy()) for i in range(8)], names=["doc_id", "n", "h1", "h2", *_SKETCH])
+        pa.default_memory_pool().release_unused()
 
     return _ids_and_texts(docs).mapInArrow(task, "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in _SKETCH))
 
@@ -143,7 +144,7 @@ def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
         for batch in batches:
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), 1 << 21):
                 ids, parts, kept = batch.column(0)[s].to_pylist(), [], []
                 for doc_id, found in zip(ids, shingles(batch.column(1)[s]), strict=True):
                     if len(found) and doc_id is not None and (p := fingerprint(found)) not in met:
@@ -162,6 +163,7 @@ def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
                 filled = np.flatnonzero(np.diff(edges)).tolist()
                 cut = lambda x: pa.array([x[edges[i] : edges[i + 1]].tobytes() for i in filled], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([names] * len(filled), pa.binary()), cut(local), cut(low)], names=["bucket", "names", "members", "marks"])
+        pa.default_memory_pool().release_unused()
 
     def group(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
@@ -220,14 +222,50 @@ def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 _KEPT = 6
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those ``pairs(a, b)`` whose sets link.
+def _packed_set(s: np.ndarray) -> bytes:
+    return np.frombuffer(s.astype(">u8").tobytes(), np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
+
+
+def _unpacked_set(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // _KEPT, 8), np.uint8)
+    wide[:, 8 - _KEPT :] = np.frombuffer(data, np.uint8).reshape(-1, _KEPT)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
+
+
+def _packed_parity(s: np.ndarray) -> bytes:
+    """The size, and at least two parity bits for each shingle: a power of two, so that it folds to fewer."""
+    bits = 1 << max(9, int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ _U(0xABCDEF)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _unpacked_parity(data: bytes) -> tuple[int, np.ndarray]:
+    return int.from_bytes(data[:8], "little"), np.frombuffer(data, np.uint64, offset=8)
+
+
+def _may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
+    (n, x), (m, y) = a, b
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 7 * int(np.bitwise_count(x ^ y).sum()) <= n + m
+
+
+def verify(pairs: DataFrame, docs: DataFrame, parity: bool = False) -> DataFrame:
+    """Those ``pairs(a, b)`` whose sets link; with ``parity``, those that long parity sketches don't rule out.
 
     Each document gets its routes: to (a, salt) as ``a`` itself or as a partner.  Sets are made from the text and
-    shuffled once, to their routes; a task holds one set at a time and compares partners as they come.  A busy
-    ``a`` is salted, 500 partners each.
+    shuffled to their routes; a task holds one set at a time and compares partners as they come.  A busy ``a`` is
+    salted, 500 partners each.
     """
     spark = docs.sparkSession
+    pack, unpack, test = (_packed_parity, _unpacked_parity, _may_link) if parity else (_packed_set, _unpacked_set, _linked)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
     left = salts.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "a", F.lit(None).cast("long").alias("b"))
     right = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), "a", "b")
@@ -238,7 +276,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column(1), 1 << 20):
-                found = [np.frombuffer(x.astype(">u8").tobytes(), np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes() for x in shingles(batch.column(1)[s])]
+                found = [pack(x) for x in shingles(batch.column(1)[s])]
                 rows = [(r["a"], r["salt"], r["b"], data) for data, routes in zip(found, batch.column(2)[s].to_pylist(), strict=True) for r in routes]
                 for begin in range(0, len(rows), 500):
                     part = list(zip(*rows[begin : begin + 500], strict=True))
@@ -247,27 +285,18 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     found = _ids_and_texts(docs).join(wanted, "doc_id").select("doc_id", "text", "routes").mapInArrow(sets, "a long, salt int, b long, shingles binary")
     dealt = found.repartition(scratch.partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
-    def numbers(data: bytes) -> np.ndarray:
-        wide = np.zeros((len(data) // _KEPT, 8), np.uint8)
-        wide[:, 8 - _KEPT :] = np.frombuffer(data, np.uint8).reshape(-1, _KEPT)
-        return wide.view(">u8").ravel().astype(np.uint64)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             linked = []
             for a, salt, b, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                mine = numbers(data)
+                mine = unpack(data)
                 if (a, salt) != at:
                     at, held = (a, salt), []
                 if b is None:
                     held.append(mine)
-                    continue
-                for other in held:
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    if both and 100 * both >= 75 * (len(mine) + len(other) - both):
-                        linked.append((a, b))
-                        break
+                elif any(test(mine, other) for other in held):
+                    linked.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in linked], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     links = scratch.materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "links")
@@ -288,7 +317,7 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     # rows of one doc_id with different texts join their classes
     doubled = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
 
-    buckets = buckets or max(8, sets.count() // 4000)
+    buckets = buckets or max(8, sets.count() // 2500)
     found = scratch.materialize(_candidates(docs, buckets), "candidates")
     scratch.release(spark)
     rep = lambda c: member.groupBy(F.col("doc_id").alias(c)).agg(F.min("rep").alias(f"rep_{c}"))
@@ -301,7 +330,8 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     links = verify(first, docs).union(doubled)
     label = components(links)
     apart = scratch.materialize(_apart(stars.join(first, ["a", "b"], "left_anti"), label).union(_crossing(found, rep("b"), nodes, label)).distinct(), "apart")
-    links = links.union(verify(apart, docs))
+    # long sketches first: most of these are long texts that share a passage
+    links = links.union(verify(verify(apart, docs, parity=True), docs))
     label = components(links)
 
     own = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))

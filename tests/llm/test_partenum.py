@@ -74,6 +74,10 @@ def test_linked_sets_share_a_signature():
             assert np.intersect1d(partenum.signatures(a), partenum.signatures(b)).size
             differ = np.bitwise_count((partenum.sketch(a) ^ partenum.sketch(b)).view(np.uint64)).sum()
             assert differ * 7 <= len(a) + len(b)
+            assert partenum._may_link(*(partenum._unpacked_parity(partenum._packed_parity(x)) for x in (a, b)))
+            assert partenum._linked(*(partenum._unpacked_set(partenum._packed_set(x)) for x in (a, b)))
+    far = [random.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64) for _ in range(2)]
+    assert not partenum._may_link(*(partenum._unpacked_parity(partenum._packed_parity(np.unique(x))) for x in far))
 
 
 def test_shingles_count():
