@@ -12,9 +12,10 @@ need.  Lines with equal sets collapse to a class first.  Then
 * positional: with a shared word at places i and j, the overlap is at most min(i, j) + min(n - i, m - j),
 * length: 4 n >= 3 m, and a bitmap: two parity bitmaps can't differ in more bits than the sets in words
 
-are conditions of one join on the word; what passes is verified on the sets.  Thousands of variants of a line would make
+are conditions of one join on the word, made in ``PASSES`` parts by the word so that only a part of the prefixes is
+shuffled at a time; what passes is verified on the sets.  Thousands of variants of a line would make
 all their pairs pass, so before that a linear pass tries each class against the earliest class that shares
-a minimum of the hashes with it (three minima); only lines that this doesn't remove probe the join.
+the least or the greatest of the hashes with it; only lines that this doesn't remove probe the join.
 
 Defined results: lines without words are never removed.  Null and empty texts stay as they are, with 0 and 0.
 Rows with a null doc_id come after all others.  Rows with one doc_id count as one document: a line
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BUCKETS, MINIMA = 1 << 14, 3
+BUCKETS, PASSES = 1 << 14, 4
 #: A broadcast list of documents is at most so long; beyond it the join is shuffled.
 MOST_BROADCAST = 300_000
 _LAST = 2**63 - 1
@@ -68,8 +69,14 @@ def _keys(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), key))
 
 
-def _parity(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 3).bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(keys: Column, half: int) -> Column:
+    """64 of 128 bits, each the parity of the words that fall on it."""
+
+    def step(held: Column, k: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 1).bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(k.bitwiseAND(F.lit(1)) == half, held.bitwiseXOR(bit)).otherwise(held)
+
+    return F.aggregate(keys, F.lit(0).cast("long"), step)
 
 
 def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
@@ -77,13 +84,11 @@ def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
     lines = _keyed(docs).select("doc", F.posexplode(_lines(F.col("text"))).alias("line", "content"))
     sets = lines.select("doc", "line", _keys(F.col("content"), ranks).alias("keys")).where(F.size("keys") > 0)
     n = F.size("keys")
-    low = lambda k: F.shiftleft(k, 15)  # the hash without the rank
-    minimum = lambda b: F.array_min(F.transform(F.filter(F.slice("keys", 1, F.ceil(n * 0.75).cast("int")), lambda k: F.pmod(k, F.lit(MINIMA)) == b), low))
-    rows = sets.select(
-        F.xxhash64("keys").alias("c"), F.hash("keys").alias("c2"), F.struct("doc", "line").alias("first"), n.alias("n"),
-        F.slice("keys", 1, n - F.ceil(n * 3 / 4).cast("int") + 1).alias("prefix"), _parity(F.col("keys")).alias("bits"), F.array(*(minimum(b) for b in range(MINIMA))).alias("minima"),
-    )
-    return rows.groupBy("c", "c2").agg(F.min("first").alias("first"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "minima"))).select("c", "c2", "first.doc", "first.line", "n", "prefix", "bits", "minima")
+    # the hashes without the ranks, of the rarer three quarters: common words would put unlike lines together
+    low = F.transform(F.slice("keys", 1, F.ceil(n * 0.75).cast("int")), lambda k: F.shiftleft(k, 15))
+    rows = sets.select(F.xxhash64("keys").alias("c"), F.hash("keys").alias("c2"), F.struct("doc", "line").alias("first"), n.alias("n"), F.slice("keys", 1, n - F.ceil(n * 3 / 4).cast("int") + 1).alias("prefix"), _parity(F.col("keys"), 0).alias("bits"), _parity(F.col("keys"), 1).alias("more"), low.alias("low"))
+    rows = rows.withColumn("minima", F.array(F.array_min("low"), F.array_max("low"))).drop("low")
+    return rows.groupBy("c", "c2").agg(F.min("first").alias("first"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "more", "minima"))).select("c", "c2", "first.doc", "first.line", "n", "prefix", "bits", "more", "minima")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -93,7 +98,8 @@ def _earlier(a: str, b: str) -> Column:
 
 def _may_link(a: str, b: str) -> Column:
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) * 7 <= n + m)
+    differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) + F.bit_count(F.col(f"{a}more").bitwiseXOR(F.col(f"{b}more")))
+    return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (differ * 7 <= n + m)
 
 
 def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
@@ -103,6 +109,7 @@ def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
 def _matched(pairs: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
     """Those later lines (x_doc, x_line) of ``pairs(x_doc, x_line, y_doc, y_line)`` whose sets link."""
     pairs = scratch.materialize(pairs, "linepairs")
+    scratch.release(docs.sparkSession)
     wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
     wanted = scratch.materialize(wanted.groupBy("doc").agg(F.collect_list("line").alias("wanted")), "wanted")
     few = wanted.count() <= MOST_BROADCAST
@@ -120,24 +127,33 @@ def _matched(pairs: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
 
 def removed_firsts(classes: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
     """doc and line of those first lines of classes that have an earlier match of another class."""
-    slim = classes.select("doc", "line", "n", "bits")
+    slim = classes.select("doc", "line", "n", "bits", "more")
     # against the earliest class with the same minimum
-    marked = classes.select("doc", "line", "n", "bits", F.explode("minima").alias("mark")).where(F.col("mark").isNotNull())
-    earliest = marked.groupBy("mark").agg(F.min(F.struct("doc", "line", "n", "bits")).alias("e")).select("mark", *(F.col(f"e.{c}").alias(f"y_{c}") for c in slim.columns))
+    marked = classes.select("doc", "line", "n", "bits", "more", F.explode("minima").alias("mark")).where(F.col("mark").isNotNull())
+    earliest = marked.groupBy("mark").agg(F.min(F.struct("doc", "line", "n", "bits", "more")).alias("e")).select("mark", *(F.col(f"e.{c}").alias(f"y_{c}") for c in slim.columns))
     stars = _prefixed(marked, "x_").join(earliest, F.col("x_mark") == F.col("mark")).where(_earlier("y_", "x_") & _may_link("x_", "y_"))
+    # pairs are few, so what was shuffled for them can go
     first = _matched(stars.select("x_doc", "x_line", "y_doc", "y_line").distinct(), docs, ranks)
     gone = _renamed(first)
     # the rest against every earlier class
     alive = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left").withColumn("alive", F.col("gone").isNull())
-    rows = alive.select("doc", "line", "n", "bits", "alive", F.posexplode("prefix").alias("place", "word"))
-    rows = rows.select("word", "doc", "line", "n", "bits", "alive", (F.col("place") + 1).alias("place"))
-    x, y = _prefixed(rows, "x_"), _prefixed(rows, "y_")
+    alive = scratch.materialize(alive, "alive")
+    rows = alive.select("doc", "line", "n", "bits", "more", "alive", F.posexplode("prefix").alias("place", "word"))
+    rows = rows.select("word", "doc", "line", "n", "bits", "more", "alive", (F.col("place") + 1).alias("place"))
     n, m, i, j = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place"))
     short = lambda size, place: place <= size - F.ceil(size * 6 / 7) + 1
     indexed = F.when(n < m, short(n, i)).when(n > m, short(m, j)).otherwise(short(n, i) | short(m, j))
     positional = (F.least(i, j) + F.least(n - i, m - j)) * 7 >= (n + m) * 3
-    near = x.join(y, (F.col("x_word") == F.col("y_word")) & F.col("x_alive") & _earlier("y_", "x_") & _may_link("x_", "y_") & positional & indexed)
-    return gone.union(_renamed(_matched(near.select("x_doc", "x_line", "y_doc", "y_line").distinct(), docs, ranks)))
+    pairs = None
+    for turn in range(PASSES):
+        part = rows.where(F.pmod("word", F.lit(PASSES)) == turn)
+        x, y = _prefixed(part, "x_"), _prefixed(part, "y_")
+        near = x.join(y, (F.col("x_word") == F.col("y_word")) & F.col("x_alive") & _earlier("y_", "x_") & _may_link("x_", "y_") & positional & indexed)
+        found = scratch.materialize(near.select("x_doc", "x_line", "y_doc", "y_line").distinct(), "near")
+        pairs = found if pairs is None else pairs.union(found)
+        del near, x, y, part
+        scratch.release(docs.sparkSession)
+    return gone.union(_renamed(_matched(pairs.distinct(), docs, ranks)))
 
 
 def _renamed(rows: DataFrame) -> DataFrame:
