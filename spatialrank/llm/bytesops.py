@@ -92,7 +92,7 @@ def segment_ids(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-def slices(column: pa.Array, most: int = 4_000_000, rows: int = 60_000) -> Iterator[slice]:
+def slices(column: pa.Array, most: int = 1_000_000, rows: int = 60_000) -> Iterator[slice]:
     """Cut a column of texts into runs of at most ``most`` bytes and ``rows`` texts; a longer text is a run of its own."""
     lengths = np.diff(text_bytes(column)[1])
     begin = 0

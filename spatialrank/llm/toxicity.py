@@ -70,12 +70,16 @@ class Model:
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id and score for each row of ``docs(doc_id, text)``."""
         buckets, weights, bias = self.buckets, self.weights, self.bias
+        made: list[tuple[np.ndarray, np.ndarray]] = []  # once in each task
 
         def function(texts: pa.Array) -> list[pa.Array]:
-            weight = np.zeros(1 << BITS)
-            weight[buckets] = weights
-            used = weight != 0
-            used[: 1 << (BITS - 1)] |= used[1 << (BITS - 1) :]
+            if not made:
+                weight = np.zeros(1 << BITS, np.float32)
+                weight[buckets] = weights
+                used = weight != 0
+                used[: 1 << (BITS - 1)] |= used[1 << (BITS - 1) :]
+                made.append((weight, used))
+            weight, used = made[0]
             found, at = occurrences(texts)
             kept = used[found]
             keys = _features(found[kept], at[kept])
