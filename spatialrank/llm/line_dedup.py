@@ -182,7 +182,7 @@ SQL = r"""
 WITH docs AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS content
           FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs WHERE text <> '')),
-sets AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '[\x20\x09-\x0D]+'), w -> w <> ''))) AS words
+sets AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS words
          FROM lines),
 classes AS (SELECT words, len(words) AS n, min(doc_id * 1000000 + line) AS first FROM sets WHERE len(words) > 0 GROUP BY words),
 tokens AS (SELECT first, n, unnest(words) AS word FROM classes),
