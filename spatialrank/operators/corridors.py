@@ -29,6 +29,26 @@ def fast_penalty(cells: DataFrame, occ: DataFrame, xd: int, strength: float, by_
     return rows.select("y", "x", "label", (F.lit(strength) * (F.col("var_x") + F.col("var_y")) / distance * part).alias("penalty"))
 
 
+#: The eight neighbours in a ring; every second one, from the first, shares a side with the cell.
+RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+def may_split(present: np.ndarray, y: int, x: int) -> bool:
+    """Whether the side neighbours of a cell aren't already joined around it within the ring."""
+    there = [bool(present[y + dy, x + dx]) for dy, dx in RING]
+    if all(there):
+        return False
+    start = there.index(False)
+    arcs, joined = 0, False
+    for i in range(start, start + 9):
+        if not there[i % 8]:
+            arcs += joined
+            joined = False
+        elif i % 2 == 0:
+            joined = True
+    return arcs > 1
+
+
 def split_parts(present: np.ndarray, y: int, x: int, amount: np.ndarray) -> list[tuple[int, float]]:
     """Area and amount of each part that the neighbours of a cell fall into once it is gone."""
     seen, parts = {(y, x)}, []
@@ -79,8 +99,7 @@ def exact_penalty(cells: DataFrame, occ: DataFrame, yd: int, xd: int, strength:
         amount[frame.y, frame.x] = 1.0 if by_area else frame.richness
         own, whole, out = amount.sum(), float(frame["n" if by_area else "rest"].iloc[0]), []
         for y, x in zip(frame.y.tolist(), frame.x.tolist(), strict=True):
-            near = sum(present[y + dy, x + dx] for dy, dx in NEAR4)
-            if near < 2:
+            if not may_split(present, y, x):
                 continue
             present[y, x] = False
             parts = [t for _, t in split_parts(present, y, x, amount)]

@@ -170,6 +170,20 @@ def test_corridors_by_hand(spark):
     assert (2, 3) in fast and all(v > 0 for v in fast.values())
 
 
+def test_only_cells_that_may_split_do():
+    random = np.random.default_rng(9)
+    split = 0
+    for _ in range(300):
+        present = np.zeros((9, 9), bool)
+        present[1:8, 1:8] = random.random((7, 7)) < 0.7
+        present[4, 4] = False
+        parts = corridors.split_parts(present, 4, 4, present.astype(float))
+        if len(parts) > 1:
+            split += 1
+            assert corridors.may_split(present, 4, 4)
+    assert split > 20
+
+
 def test_numbers_and_running_sums(spark):
     random = np.random.default_rng(2)
     rows = [(int(k), int(s), float(v)) for s, (k, v) in enumerate(zip(random.integers(0, 3, 300), random.integers(0, 9, 300)))]
