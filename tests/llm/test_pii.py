@@ -62,7 +62,7 @@ PIECES = ["a", "b.c", "@", ".", "-", " ", "+", "1", "23", "(", ")", "255", "256"
 
 
 def test_any_text(spark):
-    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
     @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=60, max_size=80))
     def inner(texts):
         check(spark, texts)
