@@ -16,8 +16,9 @@ empty ones too, which covers links between two such sets.
 Signatures travel as packed numbers, a few rows for each batch of documents and bucket.  In a bucket, each group
 with the same signature links its first member with the others: as many candidates as members, never all pairs.
 Candidates are tried by size and by a parity sketch (512 bits; two sketches can't differ in more bits than
-the sets in shingles), and verified on the sets.  Where a group of more than ``FEW`` isn't one component after that,
-its pairs across components are tried too, so that no link is lost; smaller groups are tried in full at once.
+the sets in shingles), and verified on the sets.  Smaller groups are tried in full at once.  Where a group
+of more than ``FEW`` isn't one component after that, its pairs across components are tried too, but for members that
+must share another signature with each of their partners (``_crossing``), so that no link is lost.
 Equal sets collapse before all this: a task emits a set once.
 
 Defined results: null or empty texts and texts without words have n_shingles 0 and link with nothing.  Fewer
@@ -39,7 +40,7 @@ from . import scratch
 from .bytesops import LOWER, _U, mix, range_hashes, slices, text_bytes, words
 from .components import components
 
-WORDS, SPARE, FEW = 5, 0.35, 6
+WORDS, SPARE, FEW = 5, 0.5, 6
 #: A broadcast table of routes has at most so many; beyond it the join is shuffled.
 MOST_BROADCAST = 400_000
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | _U(1)
@@ -97,10 +98,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def slack(s: np.ndarray) -> tuple[int, int]:
+    """By the band's parity, filled partitions over k: how many signatures a set may lose and still share one with
+    whatever links with it."""
+    own = int(np.searchsorted(_LOWS, len(s), side="right")) - 1
+    out = [0, 0]
+    for band in (own, own + 1):
+        k, n1 = shape(band)
+        out[band & 1] = len(np.unique(((s >> _U(32)) * _U(n1)) >> _U(32))) - k
+    return out[0], out[1]
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
-    """The signatures of a set, for its band and the next."""
+    """The signatures of a set, for its band and the next; the lowest bit is the band's parity."""
     own = int(np.searchsorted(_LOWS, len(s), side="right")) - 1
-    parts = []
+    parts, done = [], 0
     for band in (own, own + 1):
         k, n1 = shape(band)
         # the hashes are sorted, so partitions by their high bits are runs
@@ -112,6 +124,8 @@ def signatures(s: np.ndarray) -> np.ndarray:
         if n1 - len(filled) >= n1 - k:
             empty = np.setdiff1d(np.arange(n1, dtype=np.uint64), filled)
             parts.append(mix(mix(empty + _U(1)) * _U(2 * band + 3)))
+        parts[done:] = [x & ~_U(1) | _U(band & 1) for x in parts[done:]]
+        done = len(parts)
     return np.concatenate(parts)
 
 
@@ -131,15 +145,17 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 sets = shingles(batch.column(1)[s])
                 prints = [fingerprint(x) for x in sets]
                 sketches = np.stack([sketch(x) for x in sets])
-                columns = [batch.column(0)[s], pa.array([len(x) for x in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(sketches[:, i].copy()) for i in range(8)], names=["doc_id", "n", "h1", "h2", *_SKETCH])
+                slacks = [slack(x) if len(x) else (0, 0) for x in sets]
+                columns = [batch.column(0)[s], *(pa.array([x[i] for x in slacks], pa.int64()) for i in (0, 1)), pa.array([len(x) for x in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(sketches[:, i].copy()) for i in range(8)], names=["doc_id", "slack0", "slack1", "n", "h1", "h2", *_SKETCH])
         pa.default_memory_pool().release_unused()
 
-    return _ids_and_texts(docs).mapInArrow(task, "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in _SKETCH))
+    return _ids_and_texts(docs).mapInArrow(task, "doc_id long, slack0 long, slack1 long, n long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in _SKETCH))
 
 
 def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (key, a, b): candidate pairs a < b where key is null, else b is in the large group ``key``."""
+    """Rows (key, a, b): candidate pairs a < b where key is null, else b is in the large group ``key``, which stands
+    for ``a`` signatures; the key's lowest bit is the band's parity."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
@@ -188,13 +204,13 @@ def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
         at, n = first[large], sizes[large]
         # groups with the same members are one group: their key is a hash of the members
         upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids.astype(np.uint64)))])
-        names = mix(upto[at + n] - upto[at] + n.astype(np.uint64)).view(np.int64)
-        names, once = np.unique(names, return_index=True)
+        names = (mix(upto[at + n] - upto[at] + n.astype(np.uint64)) & ~_U(1) | marks[at].astype(np.uint64) & _U(1)).view(np.int64)
+        names, once, times = np.unique(names, return_index=True, return_counts=True)
         at, n = at[once], n[once]
         places = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
         keys = np.repeat(names, n)
         key = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), keys]), mask=np.arange(len(pairs) + len(keys)) < len(pairs))
-        return pa.table({"key": key, "a": np.concatenate([pairs[:, 0], np.zeros(len(keys), np.int64)]), "b": np.concatenate([pairs[:, 1], ids[places]])})
+        return pa.table({"key": key, "a": np.concatenate([pairs[:, 0], np.repeat(times, n).astype(np.int64)]), "b": np.concatenate([pairs[:, 1], ids[places]])})
 
     packed = _ids_and_texts(docs).mapInArrow(emit, "bucket int, names binary, members binary, marks binary")
     return packed.groupBy("bucket").applyInArrow(group, "key long, a long, b long")
@@ -310,8 +326,9 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     sets = scratch.materialize(set_rows(docs), "sketches")
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.materialize(filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(s).alias(s) for s in _SKETCH)), "classes")
+    classes = scratch.materialize(filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(s).alias(s) for s in ("slack0", "slack1", *_SKETCH))), "classes")
     nodes = classes.select(F.col("rep").alias("id"), "n", *_SKETCH)
+    slacks = classes.groupBy(F.col("rep").alias("id")).agg(F.min("slack0").alias("slack0"), F.min("slack1").alias("slack1"))
     member = filled.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("doc_id", "rep").distinct()
     member = scratch.materialize(member, "members")
     # rows of one doc_id with different texts join their classes
@@ -329,7 +346,7 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     first = scratch.materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = verify(first, docs).union(doubled)
     label = components(links)
-    apart = scratch.materialize(_apart(stars.join(first, ["a", "b"], "left_anti"), label).union(_crossing(found, rep("b"), nodes, label)).distinct(), "apart")
+    apart = scratch.materialize(_apart(stars.join(first, ["a", "b"], "left_anti"), label).union(_crossing(found, rep("b"), nodes, slacks, label)).distinct(), "apart")
     # long sketches first: most of these are long texts that share a passage
     links = links.union(verify(verify(apart, docs, parity=True), docs))
     label = components(links)
@@ -346,12 +363,21 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return with_both.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
 
-def _crossing(found: DataFrame, rep: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """Near pairs across components in large groups that aren't one component."""
-    groups = found.where("key IS NOT NULL").select("key", "b").join(rep, "b").select("key", F.col("rep_b").alias("id")).distinct()
-    groups = groups.join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+def _crossing(found: DataFrame, rep: DataFrame, nodes: DataFrame, slacks: DataFrame, label: DataFrame) -> DataFrame:
+    """Near pairs across components in large groups that aren't one component.
+
+    A node that has fewer signatures in such groups than its slack shares a signature with each of its partners
+    outside them, where all pairs have been tried or are connected; so only pairs of nodes of which neither is so
+    have to be tried here.  That leaves out texts that merely hold a common passage.
+    """
+    groups = found.where("key IS NOT NULL").select("key", F.col("a").alias("times"), "b").join(rep, "b").groupBy("key", F.col("rep_b").alias("id")).agg(F.sum("times").alias("times"))
+    groups = groups.join(label, "id", "left").select("key", "id", "times", F.coalesce("comp", "id").alias("comp"))
     mixed = groups.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    full = scratch.materialize(groups.join(mixed, "key", "left_semi").join(nodes, "id"), "mixed")
-    x, y = _prefixed(full, "x_"), _prefixed(full, "y_")
+    full = scratch.materialize(groups.join(mixed, "key", "left_semi"), "mixed")
+    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+    lost = full.groupBy("id").agg(F.sum(F.when(odd, F.col("times")).otherwise(0)).alias("lost1"), F.sum(F.when(odd, 0).otherwise(F.col("times"))).alias("lost0"))
+    open_ids = lost.join(slacks, "id").where("lost0 >= slack0 OR lost1 >= slack1").select("id")
+    rows = full.join(open_ids, "id", "left_semi").join(nodes, "id").drop("times")
+    x, y = _prefixed(rows, "x_"), _prefixed(rows, "y_")
     joined = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & _near("x_", "y_"))
     return joined.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))

@@ -90,3 +90,18 @@ def test_components(spark):
     got = {r.id: r.comp for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 5: 3, 9: 3, 20: 3}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_slack_is_what_a_set_may_lose():
+    random = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(random.integers(4, 900))
+        a = np.unique(random.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        drop, add = int(random.integers(0, n // 8 + 1)), int(random.integers(0, n // 8 + 1))
+        b = np.unique(np.concatenate([a[drop:], random.integers(0, 2**63, add, dtype=np.int64).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            shared = np.intersect1d(partenum.signatures(a), partenum.signatures(b))
+            spare = partenum.slack(a)
+            # in the band that both have, at least as many as the slack
+            assert any((shared & np.uint64(1) == p).sum() >= max(1, spare[p]) for p in (0, 1))
