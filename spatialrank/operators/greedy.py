@@ -70,40 +70,68 @@ def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1,
     return spark.createDataFrame(removals, "y int, x int, round int, place int")
 
 
-def _kernel(frame: pd.DataFrame, rule: str, per_round: int) -> pd.DataFrame:
-    """The same loop over one small landscape in numpy; ``unit`` numbers the units, rows are dense in features."""
-    units = frame[["level", "y", "x"]].drop_duplicates().sort_values(["y", "x"]).reset_index(drop=True)
+def _beside(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each cell the places of its eight neighbours, -1 where there is none; cells are sorted by y, x."""
+    width = int(x.max() - x.min()) + 3
+    at = (y - y.min() + 1).astype(np.int64) * width + (x - x.min() + 1)
+    wanted = at[:, None] + np.array([dy * width + dx for dy, dx in NEAR8])
+    found = np.minimum(np.searchsorted(at, wanted), len(at) - 1)
+    return np.where(at[found] == wanted, found, -1)
+
+
+def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neighbours: bool) -> pd.DataFrame:
+    """The same loop over one small landscape in numpy; rows are cells in the order of y, x, dense in features."""
+    units = frame.drop_duplicates(["y", "x"]).sort_values(["y", "x"]).reset_index(drop=True)
     at = pd.Series(units.index, index=pd.MultiIndex.from_frame(units[["y", "x"]]))
     names = np.sort(frame.feature.unique())
     v = np.zeros((len(units), len(names)))
     v[at.loc[list(zip(frame.y, frame.x, strict=True))].to_numpy(), np.searchsorted(names, frame.feature)] = frame.value
     by = frame.drop_duplicates("feature").set_index("feature").loc[names]
     w, p = by.weight.to_numpy(), by.sr_par.to_numpy()
+    y, x, level, cost, chance = (units[c].to_numpy() for c in ("y", "x", "level", "cost", "chance"))
+    beside = _beside(y, x)
+    near = (beside >= 0).sum(1)
+    ids, wv = np.arange(len(units)), v * w * p if rule == "abf" else v * w
     alive, step, out = np.ones(len(units), bool), 0, []
     while alive.any():
-        r = v[alive].sum(0)
+        if alive[ids].sum() * 10 < len(ids) * 9:  # the rows that are left move together
+            v, wv, ids = v[alive[ids]], wv[alive[ids]], ids[alive[ids]]
+        r = v.sum(0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            if rule == "caz":
-                share = np.where(v > 0, w * v / r, -np.inf)
-                delta = share.max(1)
+            if rule == "random":
+                delta = chance[ids]
+            elif rule == "caz":
+                share = wv / np.where(r > 0, r, np.inf)
+                delta = np.where(w >= 0, share, 0.0).max(1) + np.where(w < 0, share, 0.0).min(1)
             else:
-                slope = np.where(p == 0.25, 1 / (np.sqrt(r) * np.sqrt(np.sqrt(r))), r ** (p - 1))
-                delta = np.where(v > 0, v * w * p * slope, 0).sum(1)
-        low = units.level[alive].min()
-        can = np.flatnonzero(alive & (units.level == low).to_numpy())
-        order = can[np.lexsort((units.x[can], units.y[can], np.round(delta[can], 9)))][:per_round]
+                slope = np.where(r > 0, np.where(p == 0.25, 1 / (np.sqrt(r) * np.sqrt(np.sqrt(r))), r ** (p - 1)), 0.0)
+                delta = (wv * slope).sum(1)
+        can = np.flatnonzero(alive[ids] & (level[ids] == level[alive].min()))
+        k = min(warp if whole_blocks else max(1, min(warp, len(can) // 100)), len(can))
+        found = np.round(delta[can] / cost[ids[can]], 9)
+        least = np.flatnonzero(found <= np.partition(found, k - 1)[k - 1])
+        rows = ids[can[least]]
+        chosen = least[np.lexsort((rows, near[rows] if neighbours else np.zeros(len(rows)), found[least]))][:k]
+        gone = ids[can[chosen]]
         step += 1
-        out += [(int(units.y[i]), int(units.x[i]), step, k + 1) for k, i in enumerate(order.tolist())]
-        alive[order] = False
-    return pd.DataFrame(out, columns=["y", "x", "round", "place"])
-
-
-def rank_small(occ: DataFrame, features: DataFrame, rule: str = "caz", per_round: int = 1, levels: DataFrame | None = None) -> DataFrame:
-    """As ``rank`` with blocks of ``per_round``, ties by (delta, y, x), in one task: for landscapes of up to some
-    ten million cells times features."""
+        out += [(i, step, place + 1) for place, i in enumerate(gone.tolist())]
+        alive[gone], v[can[chosen]], wv[can[chosen]] = False, 0.0, 0.0
+        touched = beside[gone]
+        np.subtract.at(near, touched[touched >= 0], 1)
+    found = np.array(out, dtype=np.int64).reshape(-1, 3)
+    return pd.DataFrame({"y": y[found[:, 0]], "x": x[found[:, 0]], "round": found[:, 1], "place": found[:, 2]})
+
+
+def rank_small(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, levels: DataFrame | None = None, cost: DataFrame | None = None, seed: int = 0, whole_blocks: bool = True, neighbours: bool = False) -> DataFrame:
+    """As ``rank`` for the rules caz, abf and random, in one task: for landscapes of up to some ten million cells
+    times features.  Ties go by (delta, y, x), with ``neighbours`` by (delta, present neighbours, y, x)."""
+    if rule not in ("caz", "abf", "random"):
+        raise ValueError(f"no kernel for the rule {rule}")
     rows = occ.join(F.broadcast(features.select("feature", "weight", "sr_par")), "feature")
     rows = rows.join(levels, ["y", "x"]).withColumnRenamed("mask_level", "level") if levels is not None else rows.withColumn("level", F.lit(0))
-    return rows.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(lambda frame: _kernel(frame, rule, per_round), "y int, x int, round int, place int")
+    rows = rows.join(cost.select("y", "x", "cost"), ["y", "x"]) if cost is not None else rows.withColumn("cost", F.lit(1.0))
+    rows = rows.join(random_deltas(occ, seed).withColumnRenamed("delta", "chance"), ["y", "x"]) if rule == "random" else rows.withColumn("chance", F.lit(0.0))
+    return rows.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(lambda frame: _kernel(frame, rule, warp, whole_blocks, neighbours), "y int, x int, round int, place int")
 
 
 def replay(occ: DataFrame, order: DataFrame) -> DataFrame:
