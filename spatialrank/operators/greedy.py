@@ -46,14 +46,15 @@ def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1,
     left = cut(occ)
     n_features = features.count()
     removals: list[tuple] = []
-    turn = 0
+    turn, n = 0, 0
     while True:
         cells = left.select("y", "x").distinct()
         candidates = edge(cells) if edge_only else cells
         if levels is not None:
             own = candidates.join(levels, ["y", "x"])
             candidates = own.join(F.broadcast(own.agg(F.min("mask_level").alias("low"))), F.col("mask_level") == F.col("low")).select("y", "x")
-        n = candidates.count()
+        if not turn or edge_only or levels is not None:
+            n = candidates.count()
         if not n:
             break
         turn += 1
@@ -63,6 +64,7 @@ def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1,
             found = over_cost(found, cost)
         chosen = [(int(r.y), int(r.x), turn, int(r.place)) for r in block(found.join(candidates, ["y", "x"], "left_semi"), cells, k).collect()]
         removals += chosen
+        n -= len(chosen)
         gone = spark.createDataFrame([c[:2] for c in chosen], "y int, x int")
         left = left.join(F.broadcast(gone) if len(chosen) <= MOST_BROADCAST else gone, ["y", "x"], "left_anti")
         if turn % every == 0:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.benefit import root4
-from ..lineage import numbered
+from ..lineage import cut, numbered
 from ..operators import analyses, corridors, curves, focal, graph, greedy, regions, rules
 from ..operators import transforms as t
 from .fixtures import GRID, Fixture, with_ctes
@@ -494,15 +494,15 @@ def greedy_plu_window(f: Fixture) -> DataFrame:
 
 @query()
 def greedy_distributed(f: Fixture) -> DataFrame:
-    """The driver's loop over Spark rounds on the whole landscape, a quarter of the cells each; tests compare it with the kernel."""
+    """The driver's loop over Spark rounds on the whole landscape, a hundredth of what is left each; tests compare it with the kernel."""
     n = t_present(f).count()
-    return greedy.rank(f.occ, f.features, "caz", warp=-(-n // 4), cost=f.cost, whole_blocks=True)
+    return greedy.rank(f.occ, f.features, "caz", warp=-(-n // 4), cost=f.cost)
 
 
 @query()
 def greedy_random_seeded(f: Fixture) -> DataFrame:
     n = t_present(f).count()
-    return greedy.rank(f.occ, f.features, "random", warp=-(-n // 3), seed=11, whole_blocks=True)
+    return greedy.rank_small(f.occ, f.features, "random", warp=-(-n // 3), seed=11, whole_blocks=False, neighbours=True)
 
 
 @query("occ features nb", """, d1 AS (SELECT o.y, o.x, round(MAX(weight*value/s),9) AS delta FROM occ o JOIN features f ON f.feature=o.feature JOIN (SELECT feature, SUM(value) AS s FROM occ GROUP BY feature) r ON r.feature=o.feature GROUP BY o.y, o.x),
@@ -807,14 +807,12 @@ def corridor_penalty_exact(f: Fixture) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank every cell by core-area removal in four rounds and give what each round leaves of each feature."""
+    """Rank every cell by core-area removal, a hundredth of what is left in a round, and give what each removal leaves of each feature."""
     f = Fixture(spark, sf_dir)
     occ = t.normalise(f.occ)
     n = t_present(f).count()
-    ranking = greedy.rank(occ, f.features, "caz", warp=-(-n // 4), whole_blocks=True)
-    k = -(-n // 4)
-    steps = ranking.select("y", "x", ((F.col("round") - 1) * k + F.col("place")).cast("long").alias("step"))
-    return greedy.replay(occ, steps)
+    ranking = cut(greedy.rank_small(occ, f.features, "caz", warp=-(-n // 4), whole_blocks=False, neighbours=True))
+    return greedy.replay(occ, numbered(ranking, [F.col("round"), F.col("place")]))
 
 
 __all__ = ["QUERIES", "SQL", "Column", "flagship", "root4"]

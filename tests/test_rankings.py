@@ -1,12 +1,17 @@
 """Rankings of the whole landscape."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from spatialrank.operators import greedy
 from spatialrank.plans import rankings
 from spatialrank.plans.fixtures import Fixture
+from spatialrank.plans.queries import QUERIES
 
-from .test_engine import plain_greedy
+from .test_engine import features_of, plain_greedy, random_occ
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +38,31 @@ def test_masked_ranking_goes_level_by_level(spark):
     got = rankings.QUERIES["greedy_masked_cells"](spark, SF).collect()
     levels = [(r.x + r.y) // 9 for r in sorted(got, key=lambda r: r["round"])]
     assert levels == sorted(levels) and len(got) == Fixture(spark, SF).present.count()
+
+
+def test_blocks_hold_a_hundredth_of_what_is_left(spark):
+    got = QUERIES["greedy_random_seeded"](spark, SF).collect()
+    sizes = [n for _, n in sorted(Counter(r["round"] for r in got).items())]
+    left = Fixture(spark, SF).present.count()
+    assert sum(sizes) == left
+    for n in sizes:
+        assert n == max(1, left // 100)
+        left -= n
+
+
+@pytest.mark.parametrize("rule", ["caz", "abf", "random"])
+def test_loop_is_the_kernel(spark, rule):
+    occ = random_occ(spark, 7, size=6)
+    features = features_of(spark, 3, [1, 2, -1] if rule == "caz" else [1, 2, 3])
+    cost = occ.select("y", "x").distinct().withColumn("cost", 1.0 + F.col("x") % 3)
+    loop = greedy.rank(occ, features, rule, warp=9, cost=cost, seed=3).collect()
+    small = greedy.rank_small(occ, features, rule, 9, cost=cost, seed=3, whole_blocks=False, neighbours=True).collect()
+    assert sorted(map(tuple, loop)) == sorted(map(tuple, small))
+
+
+def test_flagship_follows_the_blocks(spark):
+    f = Fixture(spark, SF)
+    got = __spark_entry__.entry(spark)
+    assert got.agg(F.max("step")).first()[0] == f.present.count()
+    lost = got.groupBy("feature").agg(F.min("repr").alias("least")).collect()
+    assert all(abs(r.least) < 1e-9 for r in lost) and len(lost) == 8
