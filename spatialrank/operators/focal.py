@@ -75,9 +75,9 @@ def convolve(occ: DataFrame, weights: list[tuple[int, int, Column]]) -> DataFram
     return moved.groupBy((F.col("y") - F.col("__m.dy")).alias("y"), (F.col("x") - F.col("__m.dx")).alias("x"), "feature").agg(F.sum(F.col("value") * F.col("__m.k")).alias("conn"))
 
 
-def convolve_fft(occ: DataFrame, yd: int, xd: int, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def convolve_fft(occ: DataFrame, yd: int, xd: int, function: Callable[[np.ndarray], np.ndarray], everywhere: bool = False) -> DataFrame:
     """As ``convolve`` with a kernel over the whole grid, by FFT, one feature at a time; ``function`` gives weights of
-    distances.  A feature's layer must fit a task."""
+    distances.  At the feature's own cells, or ``everywhere`` on the grid.  A feature's layer must fit a task."""
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         layer = np.zeros((2 * yd, 2 * xd))
@@ -85,18 +85,32 @@ def convolve_fft(occ: DataFrame, yd: int, xd: int, function: Callable[[np.ndarra
         dy, dx = np.minimum(np.arange(2 * yd), 2 * yd - np.arange(2 * yd)), np.minimum(np.arange(2 * xd), 2 * xd - np.arange(2 * xd))
         weights = np.where((dy[:, None] < yd) & (dx < xd), function(np.hypot(dy[:, None], dx)), 0.0)
         out = np.fft.irfft2(np.fft.rfft2(layer) * np.fft.rfft2(weights), layer.shape)
-        return pd.DataFrame({"y": frame.y, "x": frame.x, "feature": frame.feature, "conn": out[frame.y, frame.x]})
+        y, x = np.indices((yd, xd)).reshape(2, -1) if everywhere else (frame.y.to_numpy(), frame.x.to_numpy())
+        return pd.DataFrame({"y": y, "x": x, "feature": frame.feature.iloc[0], "conn": out[y, x]})
 
     return occ.groupBy("feature").applyInPandas(task, "y int, x int, feature int, conn double")
 
 
+#: What spreads occurrences: offsets with weights, or a function from occurrences to conn at every cell.
+Spread = list[tuple[int, int, Column]] | Callable[[DataFrame], DataFrame]
+
+
+def whole_grid(yd: int, xd: int, function: Callable[[np.ndarray], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
+    """The spread by a kernel over the whole grid."""
+    return lambda occ: convolve_fft(occ, yd, xd, function, everywhere=True)
+
+
+def spread(occ: DataFrame, weights: Spread) -> DataFrame:
+    return weights(occ) if callable(weights) else convolve(occ, weights)
+
+
 def at_present(conn: DataFrame, occ: DataFrame) -> DataFrame:
     return occ.select("y", "x", "feature").join(conn, ["y", "x", "feature"]).select("y", "x", "feature", F.col("conn").alias("value"))
 
 
-def smoothed(occ: DataFrame, weights: list[tuple[int, int, Column]]) -> DataFrame:
+def smoothed(occ: DataFrame, weights: Spread) -> DataFrame:
     """Every feature spread by its kernel, on the cells where it is present, normalised."""
-    return normalise(at_present(convolve(occ, weights), occ))
+    return normalise(at_present(spread(occ, weights), occ))
 
 
 def _limit(conn: DataFrame, gamma: float) -> DataFrame:
@@ -104,7 +118,7 @@ def _limit(conn: DataFrame, gamma: float) -> DataFrame:
 
 
 def _interacted(occ: DataFrame, resource: int, consumer: int, weights, gamma: float, factor: Callable[[Column], Column]) -> DataFrame:
-    conn = convolve(occ.where(F.col("feature") == consumer), weights).select("y", "x", "conn")
+    conn = spread(occ.where(F.col("feature") == consumer), weights).select("y", "x", "conn")
     near = conn.crossJoin(F.broadcast(_limit(conn, gamma))).select("y", "x", (F.col("conn") / F.col("limit")).alias("share"))
     own = occ.where(F.col("feature") == resource).join(near, ["y", "x"], "left")
     changed = own.select("y", "x", "feature", (F.col("value") * factor(F.least(F.coalesce("share", F.lit(0.0)), F.lit(1.0)))).alias("value"))
