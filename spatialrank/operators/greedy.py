@@ -7,14 +7,18 @@ one number for each feature, a round's removals are at most k rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut, running_sum
+from .corridors import fast_penalty
 from .focal import NEAR8, counted, edge
-from .rules import deltas, over_cost, random_deltas, state
+from .regions import regional_deltas, unit_cost, unit_profiles
+from .rules import boundary_term, buffer_quality_loss, deltas, local_quality_loss, over_cost, random_deltas, state
 
 #: The most removals of a round that are broadcast; a larger round is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
@@ -36,14 +40,59 @@ def initial_removal(cells: DataFrame, value: str, percent: float) -> DataFrame:
     return cells.orderBy(value, "y", "x").limit(n)
 
 
-def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, cost: DataFrame | None = None, levels: DataFrame | None = None, edge_only: bool = False, seed: int = 0, whole_blocks: bool = False, every: int = 4) -> DataFrame:
+@dataclass(frozen=True)
+class Penalties:
+    """What a round's deltas take in beside the rule.
+
+    ``blp``: the strength of the boundary's length, whose term is subtracted.  ``quality``: (radius, profile) of the
+    boundary's quality; units then lose their own and their neighbours' share by it, and representation counts it.
+    ``regions``: (cells with admu, own weights, units, mode) of administrative weights, core-area rule only.
+    ``corridor``: (width of the grid, strength) of the fast corridor penalty, which is added.
+    """
+
+    blp: float = 0.0
+    quality: tuple[int, list[tuple[float, float]]] | None = None
+    regions: tuple[DataFrame, DataFrame, DataFrame, int] | None = None
+    corridor: tuple[int, float] | None = None
+
+    def check(self, rule: str) -> None:
+        if self.regions and (rule != "caz" or self.quality):
+            raise ValueError("administrative weights need the core-area rule and no boundary quality")
+
+
+def round_deltas(left: DataFrame, cells: DataFrame, before: DataFrame, features: DataFrame, rule: str, n_features: int, seed: int, cost: DataFrame | None, also: Penalties) -> DataFrame:
+    """The delta of every remaining cell: the rule over cost, less the boundary's term, plus the corridor's."""
+    if rule == "random":
+        found = random_deltas(left, seed)
+    elif also.regions:
+        admu, own, units, mode = also.regions
+        found = regional_deltas(left, admu, features, own, units, mode)
+    elif also.quality:
+        kept = local_quality_loss(left, cells, before, *also.quality).withColumnRenamed("loss", "value")
+        lost = kept.unionByName(buffer_quality_loss(left, cells, before, *also.quality).withColumnRenamed("loss", "value"))
+        found = deltas(lost.groupBy("y", "x", "feature").agg(F.sum("value").alias("value")), state(kept, features), rule, n_features)
+    else:
+        found = deltas(left, state(left, features), rule, n_features)
+    if cost is not None:
+        found = over_cost(found, cost)
+    if also.blp:
+        found = found.join(boundary_term(cells, also.blp).select("y", "x", "term"), ["y", "x"]).select("y", "x", (F.col("delta") - F.col("term")).alias("delta"))
+    if also.corridor:
+        more = fast_penalty(cells, left, *also.corridor).select("y", "x", "penalty")
+        found = found.join(more, ["y", "x"], "left").select("y", "x", (F.col("delta") + F.coalesce("penalty", F.lit(0.0))).alias("delta"))
+    return found
+
+
+def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, cost: DataFrame | None = None, levels: DataFrame | None = None, edge_only: bool = False, seed: int = 0, whole_blocks: bool = False, every: int = 4, also: Penalties = Penalties()) -> DataFrame:
     """y, x, round, place for every cell, removed in rounds of k = max(1, min(warp, candidates // 100)).
 
     ``whole_blocks`` takes k = warp as it is.  With ``levels`` (y, x, mask_level) the lowest level goes first.  Every few
-    rounds the remaining table is checkpointed to the shared folder.
+    rounds the remaining table is checkpointed to the shared folder.  ``also`` are penalties and weights of each round.
     """
+    also.check(rule)
     spark = occ.sparkSession
     left = cut(occ)
+    before = left.select("y", "x").distinct()
     n_features = features.count()
     removals: list[tuple] = []
     turn, n = 0, 0
@@ -59,10 +108,10 @@ def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1,
             break
         turn += 1
         k = warp if whole_blocks else max(1, min(warp, n // 100))
-        found = random_deltas(left, seed) if rule == "random" else deltas(left, state(left, features), rule, n_features)
-        if cost is not None:
-            found = over_cost(found, cost)
+        found = round_deltas(left, cells, before, features, rule, n_features, seed, cost, also)
         chosen = [(int(r.y), int(r.x), turn, int(r.place)) for r in block(found.join(candidates, ["y", "x"], "left_semi"), cells, k).collect()]
+        if not chosen:
+            raise ValueError("cells without a cost or weight are left")
         removals += chosen
         n -= len(chosen)
         gone = spark.createDataFrame([c[:2] for c in chosen], "y int, x int")
@@ -72,6 +121,42 @@ def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1,
     return spark.createDataFrame(removals, "y int, x int, round int, place int")
 
 
+def rank_units(occ: DataFrame, plu: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, cost: DataFrame | None = None, every: int = 4) -> DataFrame:
+    """plu_id, round, place of every planning unit with occurrences; ``plu`` has y, x, plu_id, ``cost`` is by cell.
+
+    A round takes the unit with the least delta over its cost, whatever its size, then those of the k cheapest cells'
+    units, k = max(1, min(warp, cells left // 100)), that keep the round's cells within k; ties go by plu_id.
+    """
+    spark = occ.sparkSession
+    n_features = features.count()
+    profiles = cut(unit_profiles(occ, plu))
+    sizes = cut(plu.join(occ.select("y", "x").distinct(), ["y", "x"], "left_semi").groupBy("plu_id").agg(F.count("*").alias("n_cells")))
+    prices = cut(unit_cost(plu, cost)) if cost is not None else None
+    n, turn, removals = int(sizes.agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0]), 0, []
+    while n:
+        turn += 1
+        k = max(1, min(warp, n // 100))
+        found = deltas(profiles, state(profiles, features), rule, n_features, ("plu_id",))
+        if prices is not None:
+            found = over_cost(found, prices, ("plu_id",))
+        order = found.join(sizes, "plu_id").withColumn("delta", F.round("delta", 9)).orderBy("delta", "plu_id").limit(k)
+        chosen, seen, taken = [], 0, 0
+        for r in order.collect():
+            if seen < k and (not chosen or r.n_cells <= k - taken):  # units too large for what is left are passed over
+                chosen.append(r)
+                taken += r.n_cells
+            seen += r.n_cells
+        if not chosen:
+            raise ValueError("units without a cost are left")
+        removals += [(int(r.plu_id), turn, place + 1) for place, r in enumerate(chosen)]
+        n -= sum(r.n_cells for r in chosen)
+        gone = spark.createDataFrame([(int(r.plu_id),) for r in chosen], "plu_id int")
+        profiles = profiles.join(F.broadcast(gone), "plu_id", "left_anti")
+        if turn % every == 0:
+            profiles = cut(profiles)
+    return spark.createDataFrame(removals, "plu_id int, round int, place int")
+
+
 def _beside(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For each cell the places of its eight neighbours, -1 where there is none; cells are sorted by y, x."""
     width = int(x.max() - x.min()) + 3
