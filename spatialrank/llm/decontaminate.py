@@ -13,8 +13,8 @@ stretch free.
 Items of fewer than ``Q`` bytes are never reported: they are too short to tell.
 
 Benchmark items are the stated query set: they go to the tasks in blocks of at most ``BLOCK`` bytes of text, a
-fixed bound on what is broadcast, one pass over the documents for each block.  Items with fewer than
-``SHORTEST`` bytes after normalising match exactly only (e = 0).
+fixed bound on what is broadcast, one pass over the documents for each block.  Items too short for the bound to
+stay positive with m / ``EDITS_OF`` edits get as many as keep it positive; under 16 bytes they match exactly only.
 
 Null and empty documents and items match nothing.  Repeated rows are reported each.  Items with equal text are
 reported each.  Empty tables give no rows.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import _U, LOWER, SPACE, mix, slices, text_bytes
 
-Q, EDITS_OF, SHORTEST, BLOCK = 8, 12, 48, 2_000_000
+Q, EDITS_OF, BLOCK = 8, 12, 2_000_000
 _TABLE_BITS = 22
 
 
@@ -40,7 +40,7 @@ def normal(text: str | None) -> bytes:
 
 
 def edits(m: int) -> int:
-    return m // EDITS_OF if m >= SHORTEST else 0
+    return max(0, min(m // EDITS_OF, (m - Q) // Q))
 
 
 def _normal_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
