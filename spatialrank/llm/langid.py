@@ -5,8 +5,8 @@ geometric mean of how many each holds (a blended-spectrum presence kernel; n-gra
 ``SIZE`` places).  Landmarks from the sample give Nyström features, and one-versus-rest kernel ridge regression
 over these the score of each language; a batch is scored by two matrix products.
 
-Sample: about ``most_each`` documents of each of the ``most_languages`` most frequent values of lang, chosen by
-a hash of the identifier; at least one document of each.  Scoring reads every whole text.
+Sample: about ``most_each`` documents of each value of lang, chosen by a hash of the identifier; at least one document
+of each.  With more than ``most_languages`` values each gets fewer, so that the fit's matrices stay as large.  Scoring reads every whole text.
 
 A text that is null or has no letter is ``und`` with score 0.  Rows with null lang teach nothing.  With no
 row to learn from, every text is ``und``.  Ties go to the value that sorts first.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bytesops import LOWER, WORDLIKE, segment_ids, text_bytes
 from .learning import map_texts, remainder
 
-ORDERS, SIZE = 3, 4096
+ORDERS, SIZE, LANDMARKS = 3, 4096, 192
 #: Letters and bytes of other scripts stay, the rest is a blank.
 _LETTERS = np.where(WORDLIKE, LOWER, 32).astype(np.uint32)
 _LETTERS[48:58] = 32
@@ -84,7 +84,7 @@ class Model:
         return map_texts(docs, function, "lang_pred string, score double")
 
 
-def fit(presences: np.ndarray, languages: list[str], landmarks: int = 192, ridge: float = 1e-3, seed: int = 0) -> Model:
+def fit(presences: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-3, seed: int = 0) -> Model:
     """Nyström features over landmarks from the rows, and ridge regression one versus rest."""
     names = sorted(set(languages))
     random = np.random.default_rng(seed)
@@ -95,23 +95,34 @@ def fit(presences: np.ndarray, languages: list[str], landmarks: int = 192, ridge
     values, vectors = np.linalg.eigh(_kernel(marks, marks).astype(np.float64))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
     psi = np.hstack([_kernel(presences, marks) @ whiten, np.ones((len(lang), 1))])
-    target = np.where(lang[:, None] == np.arange(len(names)), 1.0, -1.0)
+    # the targets are 1 for the own language and -1 for the others
+    own = np.zeros((len(names), psi.shape[1]))
+    np.add.at(own, lang, psi)
     gram = psi.T @ psi + ridge * len(lang) * np.eye(psi.shape[1]) / len(names)
-    solved = np.linalg.solve(gram, psi.T @ target)
+    solved = np.linalg.solve(gram, 2 * own.T - psi.sum(0)[:, None])
     return Model(names, marks, np.vstack([whiten @ solved[:-1], solved[-1:]]).astype(np.float32))
 
 
+def sample_sizes(languages: int, most_each: int, most_languages: int) -> tuple[int, int]:
+    """Documents of each language, and the most in all; rows times landmarks don't grow until each has but one."""
+    width = max(languages, LANDMARKS) * max(languages, 1)
+    each = max(1, min(most_each, most_each * most_languages * LANDMARKS // width))
+    return each, 2 * max(most_each * most_languages, languages)
+
+
 def train(docs: DataFrame, folds: int = 5, held_out: int = 0, most_each: int = 800, most_languages: int = 100) -> Model:
     """Learn from the text and lang of rows outside the fold ``held_out``."""
     known = docs.where((remainder(folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    languages = known.select("lang").distinct().count()
+    each, most = sample_sizes(languages, most_each, most_languages)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("least"))
     scale = 1 << 30
-    share = F.greatest(F.lit(1), (F.lit(scale) * F.least(F.lit(1.0), F.lit(float(most_each)) / F.col("n"))).cast("long"))
+    share = F.greatest(F.lit(1), (F.lit(scale) * F.least(F.lit(1.0), F.lit(float(each)) / F.col("n"))).cast("long"))
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(counts.select("lang", "least", share.alias("below"))), "lang")
     rows = rows.where((F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(scale)) < F.col("below")) | (F.xxhash64("doc_id") == F.col("least")))
     packed = lambda texts: [pa.array([r.tobytes() for r in np.packbits(presence(texts), axis=1)], pa.binary())]
-    names = {r.doc_id: r.lang for r in rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").limit(2 * most_each * most_languages).collect()}
-    got = sorted((r.doc_id, bytes(r.grams)) for r in map_texts(rows, packed, "grams binary").limit(2 * most_each * most_languages).collect() if r.doc_id in names)
+    names = {r.doc_id: r.lang for r in rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").limit(most).collect()}
+    got = sorted((r.doc_id, bytes(r.grams)) for r in map_texts(rows, packed, "grams binary").limit(most).collect() if r.doc_id in names)
     if not got:
         return Model([], np.zeros((0, SIZE), np.uint8), np.zeros((1, 0), np.float32))
     unique = dict.fromkeys((g, names[i]) for i, g in got)
