@@ -62,7 +62,7 @@ PIECES = ["a", "b.c", "@", ".", "-", " ", "+", "1", "23", "(", ")", "255", "256"
 
 
 def test_any_text(spark):
-    @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
     @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=60, max_size=80))
     def inner(texts):
         check(spark, texts)
@@ -74,7 +74,22 @@ def test_labelers_are_weighed():
     # the first two labelers agree, the third is noise, the fourth never votes
     digit = lambda *v: sum(x * 3**j for j, x in enumerate(v))
     counts = {digit(2, 2, 2, 1): 100, digit(2, 2, 0, 1): 100, digit(0, 0, 2, 1): 200, digit(0, 0, 0, 1): 200, digit(2, 0, 2, 1): 5, digit(0, 2, 0, 1): 5}
-    chance, share = pii.reliabilities(counts)
-    assert chance[digit(2, 2, 0, 1)] > 0.95 and chance[digit(0, 0, 2, 1)] < 0.05 and 0.25 < share < 0.42
+    group = (3, False)
+    chance, right = pii.reliabilities({(group, p): n for p, n in counts.items()}, 4)
+    share = sum(n * chance[group, p] for p, n in counts.items()) / sum(counts.values())
+    assert chance[group, digit(2, 2, 0, 1)] > 0.95 and chance[group, digit(0, 0, 2, 1)] < 0.05 and 0.25 < share < 0.42
+    assert right[0][0] > 0.9 > 0.1 > right[0][1] and 0.4 < right[2][0] < 0.6
     p = pii.classifier([(3, 36, 0.95, 100.0), (3, 1, 0.05, 300.0), (0, 5, 0.9, 10.0)])
     assert p[3, 36] > 0.7 and p[3, 1] < 0.3
+
+
+def test_looser_spans_are_added_and_decoys_are_not(spark):
+    base = ["mail jo%d@site.example.com", "phone +1 (706) 555-%04d now", "host 144.137.%d.239 up", "card 4111 1111 1111 1111 (%d)"]
+    planted = ["call me at 706 555 1%03d today", "phone: (415) 555-2%03d", "write to jo%d (at) mail (dot) example (dot) com", "the host 144[.]137[.]2[.]%d answers", "pay by card 4111.1111.1111.1111 (%d)"]
+    decoys = ["order 106 155 1%03d was shipped", "serial 123-045-6%03d", "version 300.400.500.%d", "invoice 4111 1111 1111 1112 (%d)", "lot 1234_5678_9012_34%d"]
+    kinds = (("plain", base), ("planted", planted), ("decoy", decoys))
+    rows = [(kind, t % i) for i in range(40) for kind, texts in kinds for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(docs).collect()}
+    added = {kind: [len(got[i].added) for i, (k, _) in enumerate(rows) if k == kind] for kind, _ in kinds}
+    assert sum(added["planted"]) >= 0.95 * len(added["planted"]) and sum(added["decoy"]) <= 0.02 * len(added["decoy"]) and not sum(added["plain"])
