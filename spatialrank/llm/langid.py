@@ -5,11 +5,12 @@ geometric mean of how many each holds (a blended-spectrum presence kernel; n-gra
 ``SIZE`` places).  Landmarks from the sample give Nyström features, and one-versus-rest kernel ridge regression
 over these the score of each language; a batch is scored by two matrix products.
 
-Sample: about ``most_each`` documents of each value of lang, chosen by a hash of the identifier; at least one document
-of each.  With more than ``most_languages`` values each gets fewer, so that the fit's matrices stay as large.  Scoring reads every whole text.
+Sample: about ``most_each`` texts of each value of lang, chosen by a hash of the text; at least one text of each,
+and equal texts of a language count once.  With more than ``most_languages`` values each gets fewer, so that the fit's matrices stay as large.  Scoring reads every whole text.
 
 A text that is null or has no letter is ``und`` with score 0.  Rows with null lang teach nothing.  With no
-row to learn from, every text is ``und``.  Ties go to the value that sorts first.
+row to learn from, every text is ``und``.  Ties go to the value that sorts first.  Repeated rows and very long texts
+are scored as any other; an empty table gives no rows; other columns of the table aren't read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .bytesops import LOWER, WORDLIKE, segment_ids, text_bytes
 from .learning import map_texts, remainder
 
@@ -113,17 +115,18 @@ def sample_sizes(languages: int, most_each: int, most_languages: int) -> tuple[i
 def train(docs: DataFrame, folds: int = 5, held_out: int = 0, most_each: int = 800, most_languages: int = 100) -> Model:
     """Learn from the text and lang of rows outside the fold ``held_out``."""
     known = docs.where((remainder(folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = known.select("lang").distinct().count()
+    # by the text, so that many rows with one text or one identifier count as one
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text", F.lit(7)))
+    counts = scratch.materialize(known.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n"), F.min("mark").alias("least")), "languages")
+    languages = counts.count()
     each, most = sample_sizes(languages, most_each, most_languages)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("least"))
     scale = 1 << 30
     share = F.greatest(F.lit(1), (F.lit(scale) * F.least(F.lit(1.0), F.lit(float(each)) / F.col("n"))).cast("long"))
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(counts.select("lang", "least", share.alias("below"))), "lang")
-    rows = rows.where((F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(scale)) < F.col("below")) | (F.xxhash64("doc_id") == F.col("least")))
+    rows = known.join(F.broadcast(counts.select("lang", "least", share.alias("below"))), "lang")
+    rows = rows.where((F.pmod("mark", F.lit(scale)) < F.col("below")) | (F.col("mark") == F.col("least")))
     packed = lambda texts: [pa.array([r.tobytes() for r in np.packbits(presence(texts), axis=1)], pa.binary())]
-    names = {r.doc_id: r.lang for r in rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").limit(most).collect()}
-    got = sorted((r.doc_id, bytes(r.grams)) for r in map_texts(rows, packed, "grams binary").limit(most).collect() if r.doc_id in names)
+    unique = map_texts(rows, packed, "grams binary", "lang string").distinct()
+    got = [(bytes(r.grams), r.lang) for r in unique.orderBy(F.xxhash64("grams", "lang"), "grams", "lang").limit(most).collect()]
     if not got:
         return Model([], np.zeros((0, SIZE), np.uint8), np.zeros((1, 0), np.float32))
-    unique = dict.fromkeys((g, names[i]) for i, g in got)
-    return fit(np.unpackbits(np.frombuffer(b"".join(g for g, _ in unique), np.uint8).reshape(len(unique), -1), axis=1), [lang for _, lang in unique])
+    return fit(np.unpackbits(np.frombuffer(b"".join(g for g, _ in got), np.uint8).reshape(len(got), -1), axis=1), [lang for _, lang in got])

@@ -18,9 +18,10 @@ def remainder(by: int) -> Column:
 
 
 def first_ids(rows: DataFrame, most: int) -> list[int]:
-    """At most ``most`` different identifiers, the first in the order of a hash: the same for any partitioning."""
-    picked = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    return [r.doc_id for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct().collect()]
+    """At most ``most`` different identifiers, the first in the order of a hash: the same for any partitioning and
+    however often each comes up."""
+    picked = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return [r.doc_id for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
 def texts_of(docs: DataFrame, ids: list[int]) -> DataFrame:
@@ -29,9 +30,10 @@ def texts_of(docs: DataFrame, ids: list[int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id", "left_semi")
 
 
-def map_texts(docs: DataFrame, function: Callable[[pa.Array], list[pa.Array]], fields: str) -> DataFrame:
-    """``doc_id`` and the columns that ``function`` makes of each text, in Arrow batches of at most some MB."""
-    names = ["doc_id", *(field.split()[0] for field in fields.split(", "))]
+def map_texts(docs: DataFrame, function: Callable[[pa.Array], list[pa.Array]], fields: str, beside: str = "doc_id long") -> DataFrame:
+    """The column ``beside`` and those that ``function`` makes of each text, in Arrow batches of at most some MB."""
+    own, kind = beside.split()
+    names = [own, *(field.split()[0] for field in fields.split(", "))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,7 +41,7 @@ def map_texts(docs: DataFrame, function: Callable[[pa.Array], list[pa.Array]], f
             for s in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s], *function(texts[s])], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, f"doc_id long, {fields}")
+    return docs.select(F.col(own).cast(kind).alias(own), F.col("text").cast("string").alias("text")).mapInArrow(task, f"{beside}, {fields}")
 
 
 class Adam:

@@ -12,7 +12,8 @@ once.  Scoring reads every passage of every whole text.
 
 A text without words is one passage of zeros, so it too has a score.  Labels without a document and null labels
 teach nothing; of several labels of a document the lowest counts.  With labels of one kind only, or none, the
-score is their share of 1, or 0.5.
+score is their share of 1, or 0.5.  Repeated rows and very long texts are scored as any other; an empty table
+gives no rows; other columns of the table aren't read.
 """
 
 from __future__ import annotations
