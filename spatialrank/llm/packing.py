@@ -10,7 +10,7 @@ task packs runs of ``RUN`` pieces; a run leaves at most a few sequences with roo
 (under 0.02 %) for packing in parallel.
 
 Null and empty texts are documents of the end id alone.  Repeated rows are packed each.  No documents: no
-rows.
+rows.  Very long texts are cut into as many pieces as they need; other columns of the table aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .tokens import encoder, with_end
 
 #: Pieces that are packed together.
@@ -132,6 +133,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
         if n:
             yield packed(pd.concat(held, ignore_index=True))
 
-    tasks = max(1, docs.count() // run)
-    dealt = pieces(docs, vocabulary, end_id, capacity).repartition(tasks)
-    return dealt.mapInPandas(task, PIECES + ", sequence_id long, offset long")
+    cut = scratch.materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
+    return cut.repartition(max(1, cut.count() // run)).mapInPandas(task, PIECES + ", sequence_id long, offset long")
