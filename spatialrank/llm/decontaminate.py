@@ -10,20 +10,22 @@ region fall into one band.  Bands whose count reaches the bound are retained, ea
 hits reach, and verified: the item is aligned inside the stretch by banded dynamic programming, ends of the
 stretch free.
 
-Items of fewer than ``Q`` bytes are never reported: they are too short to tell.
+Items of fewer than ``Q`` bytes have no q-gram: a document holds one where its text does, found by one automaton of
+all of them.
 
 Benchmark items are the stated query set: they go to the tasks in blocks of at most ``BLOCK`` bytes of text, a
-fixed bound on what is broadcast, one pass over the documents for each block.  Items too short for the bound to
-stay positive with m / ``EDITS_OF`` edits get as many as keep it positive; under 16 bytes they match exactly only.
+fixed bound on what is broadcast, one pass over the documents for each block.  Every item has the edits that keep the
+bound positive, m / ``EDITS_OF`` at most: none under 16 bytes, one from there.
 
 Null and empty documents and items match nothing.  Repeated rows are reported each.  Items with equal text are
-reported each.  Empty tables give no rows.
+reported each.  Empty tables give no rows.  Very long texts are searched whole; other columns of both tables aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +74,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
         self.items = items
+        self.short = _automaton([(k, text) for k, (_, text) in enumerate(items) if len(text) < Q])
         grams = [_grams(np.frombuffer(text, np.uint8)) for _, text in items]
         item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
@@ -97,6 +100,13 @@ class Index:
         where = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.repeat(at, n), self.item[where], self.place[where]
 
+    def exact(self, data: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
+        """Text and item wherever a text holds an item of fewer than Q bytes."""
+        if self.short is None:
+            return set()
+        texts = data.tobytes().decode("latin-1")
+        return {(t, k) for t in range(len(offsets) - 1) for _, same in self.short.iter(texts, int(offsets[t]), int(offsets[t + 1])) for k in same}
+
     def regions(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Text, item, and the stretch begin, end of each band that reaches its bound."""
         if not len(self.values) or len(data) < Q:
@@ -123,6 +133,20 @@ class Index:
         return list(zip(text.tolist(), item.tolist(), begin.tolist(), end.tolist(), strict=True))
 
 
+def _automaton(short: list[tuple[int, bytes]]):
+    """An automaton that gives the places of the items with each text, or None if there are none."""
+    same: dict[bytes, list[int]] = {}
+    for k, text in short:
+        same.setdefault(text, []).append(k)
+    if not same:
+        return None
+    found = ahocorasick.Automaton()
+    for text, places in same.items():
+        found.add_word(text.decode("latin-1"), places)
+    found.make_automaton()
+    return found
+
+
 def align(item: np.ndarray, stretch: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """Begin, end and edits of the best place of ``item`` in ``stretch``, or None if over ``most`` edits.
 
@@ -166,7 +190,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = [(r.item_id, normal(r.text)) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()]
     blocks, size = [[]], 0
     for item in items:
-        if len(item[1]) >= Q:
+        if item[1]:
             if size and size + len(item[1]) > BLOCK:
                 blocks.append([])
                 size = 0
@@ -188,7 +212,7 @@ def _leaks_of(docs: DataFrame, block: list[tuple[int | None, bytes]]) -> DataFra
             ids = batch.column(0)
             for s in slices(batch.column(1)):
                 data, offsets = _normal_batch(batch.column(1)[s])
-                best: dict[tuple[int, int], int] = {}
+                best = dict.fromkeys(index.exact(data, offsets), 0)
                 for t, k, begin, end in index.regions(data, offsets):
                     if best.get((t, k)) == 0:
                         continue
