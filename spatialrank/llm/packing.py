@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -112,26 +111,26 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, run: int = RUN) -> DataFrame:
     """The pieces of ``docs(doc_id, text)`` with the sequence and the offset of each."""
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, n = TaskContext.get().partitionId() << 36, [], 0
 
-        def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
             nonlocal base
-            sequence, offset = pack(frame["length"].to_numpy(), capacity)
-            out = frame.assign(sequence_id=sequence + base, offset=offset)
+            sequence, offset = pack(table.column("length").to_numpy(), capacity)
+            out = table.append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
             base += int(sequence.max()) + 1
-            return out
+            yield from out.combine_chunks().to_batches()
 
-        for frame in frames:
-            held.append(frame)
-            n += len(frame)
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
             if n >= 2 * run:
-                whole = pd.concat(held, ignore_index=True)
-                yield packed(whole.iloc[:run].reset_index(drop=True))
-                held = [whole.iloc[run:]]
+                whole = pa.Table.from_batches(held)
+                yield from packed(whole.slice(0, run))
+                held = whole.slice(run).to_batches()
                 n -= run
         if n:
-            yield packed(pd.concat(held, ignore_index=True))
+            yield from packed(pa.Table.from_batches(held))
 
     cut = scratch.materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
-    return cut.repartition(max(1, cut.count() // run)).mapInPandas(task, PIECES + ", sequence_id long, offset long")
+    return cut.repartition(max(1, cut.count() // run)).mapInArrow(task, PIECES + ", sequence_id long, offset long")
