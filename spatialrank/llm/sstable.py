@@ -12,15 +12,18 @@ order; within a block each key leaves out the bytes it shares with the one befor
 is the empty key, which sorts first.  Ids are little-endian unsigned integers of 16 bits, or of 32 where
 the document has a larger one.
 
-Writing shuffles the texts once by ranges of the identifier and tokenises them in order, so a shard is a
-range.  A task writes under a name of its own attempt; only the shards named by tasks that ended well
-are in the manifest, so tasks may be lost and repeated.  Rows with the same identifier all stay,
-ordered by text.  A null or empty text is a document of its end id alone.
+Writing shuffles the texts once by ranges of (identifier, hash of the text) and tokenises them in order, so a shard is a
+range, of about ``SHARD_BYTES`` of text at most, and many rows with one identifier or none spread over several.  A task writes
+under a name of its own attempt; only the shards named by tasks that ended well are in the manifest, so tasks
+may be lost and repeated.  Rows with the same identifier all stay, ordered by the text's hash and then the text.  A null
+or empty text is a document of its end id alone.  An empty table gives no shard and no rows.  Very long texts are
+entries as any other; other columns of the table aren't read.  Identifiers are any 64-bit integers.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
@@ -29,7 +32,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -37,6 +41,7 @@ from .bytesops import mix
 from .tokens import encoder, with_end
 
 MAGIC = b"SRSSTBL1"
+SHARD_BYTES = 1 << 28
 _FOOTER = struct.Struct("<QQQQQQI8s")
 _INDEX = struct.Struct("<QQQ")
 
@@ -70,7 +75,7 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _bloom_places(keys: list[bytes], bits: int, hashes: int) -> np.ndarray:
-    h = mix(np.array([int.from_bytes(k, "big") + len(k) for k in keys], np.uint64))
+    h = mix(np.array([(int.from_bytes(k, "big") + len(k)) % 2**64 for k in keys], np.uint64))
     step = (h >> np.uint64(33)) | np.uint64(1)
     return (h[:, None] + np.arange(hashes, dtype=np.uint64) * step[:, None]) % np.uint64(bits)
 
@@ -176,7 +181,8 @@ class Reader:
 def _file(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    # other names of the same stores
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^dbfs:/+", "file:///dbfs/", path)))
 
 
 def open_shard(path: str) -> Reader:
@@ -190,17 +196,19 @@ def open_shard(path: str) -> Reader:
     return Reader(read_at, file.size())
 
 
-MANIFEST = "shard string, first_id long, last_id long, has_null boolean, n_docs long, n_ids long"
+MANIFEST = "number int, shard string, first_id long, last_id long, has_null boolean, n_docs long, n_ids long"
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, shards: int | None = None) -> DataFrame:
-    """Write ``docs(doc_id, text)`` as shards below ``path``; returns the manifest, in no order.
+    """Write ``docs(doc_id, text)`` as shards below ``path``; returns the manifest, in no order; ``number`` is a shard's place.
 
     ``shards`` is a number to aim at; a range without documents writes none.
     """
     spark = docs.sparkSession
-    shards = shards or scratch.partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(scratch.partitions(spark), -(-size // SHARD_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, writer, out, ends, null = f"{path}/{uuid.uuid4().hex}.sst", None, None, [], False
@@ -222,15 +230,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, shards:
         if writer is not None:
             writer.close()
             out.close()
-            row = {"shard": name, "first_id": min(ends, default=None), "last_id": max(ends, default=None), "has_null": null, "n_docs": len(writer.keys), "n_ids": writer.n_ids}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("has_null", pa.bool_()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            row = {"number": TaskContext.get().partitionId(), "shard": name, "first_id": min(ends, default=None), "last_id": max(ends, default=None), "has_null": null, "n_docs": len(writer.keys), "n_ids": writer.n_ids}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("number", pa.int32()), ("shard", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("has_null", pa.bool_()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return scratch.materialize(ordered.mapInArrow(task, MANIFEST), "manifest")
-
-
-def _in_order() -> list[Column]:
-    return [F.col("has_null").desc(), F.col("first_id").asc_nulls_first()]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark").asc()]
+    ordered = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    return scratch.materialize(ordered.select("doc_id", "text").mapInArrow(task, MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -239,7 +244,7 @@ def read(manifest: DataFrame) -> DataFrame:
     ``start`` is the number of ids of all documents before it, over all shards.  The window that adds up
     shards has one row for each shard, so it is small whatever the corpus is.
     """
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy(*_in_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.withColumn("base", before).select("shard", "base")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +264,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """As ``read``, with the crc32 of the ids as little-endian 32-bit integers instead of the ids."""
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy(*_in_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.withColumn("base", before).select("shard", "base")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,17 +4,19 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from spatialrank.llm import packing, scratch, sstable
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [(7, "Hello there, it's fine."), (3, None), (None, "no id"), (-2, ""), (9, "word " * 3000), (7, "Another with the same id"), (11, "é\n\nü  x")]
+TEXTS = [(2**63 - 1, "last"), (-(2**63), "first"), (2**63 - 9, "near the end"), (7, "Hello there, it's fine."), (3, None), (None, "no id"), (-2, ""), (9, "word " * 3000), (7, "Another with the same id"), (11, "é\n\nü  x")]
 
 
 def expected():
     library = Tokenizer.from_file(PATH)
-    rows = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    mark = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64(t.encode(), seed=42).intdigest()).view(np.int64))
+    rows = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, mark(r[1])))
     start, out = 0, []
     for doc_id, text in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
@@ -81,16 +83,27 @@ def test_fullest_is_fullest():
 
 def test_packing(spark):
     rows = [(k, "word " * ((k * 7919) % 1500)) for k in range(300)] + TEXTS
-    got = packing.pack_documents(docs(spark, rows), PATH, run=200).toPandas()
+    made = packing.pack_documents(docs(spark, rows), PATH, run=200)
+    got, exact = made.drop("doc_id").toPandas(), made.collect()
     library, want = Tokenizer.from_file(PATH), []
     for k, t in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids + [2]
         first = (len(ids) - 1) % 1024 + 1
         cuts = [0, *range(first, len(ids) + 1, 1024)]
         want += [(-1 if k is None else k, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    assert sorted(want) == sorted(got.fillna({"doc_id": -1})[["doc_id", "piece", "start", "length", "ids_crc32"]].astype(int).itertuples(index=False, name=None))
+    assert sorted(want) == sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in exact)
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         ends = s["offset"] + s["length"]
         assert s["offset"].iloc[0] == 0 and (s["offset"].iloc[1:].to_numpy() == ends.iloc[:-1].to_numpy()).all() and ends.max() <= 1024
     assert got.sequence_id.nunique() <= 1.03 * got["length"].sum() / 1024
     assert packing.pack_documents(docs(spark, []), PATH).count() == 0
+
+
+def test_one_identifier_over_several_shards(spark):
+    rows = [(5, f"text number {i}") for i in range(400)] + [(None, f"no id {i}") for i in range(200)] + [(9, "last"), (5, "text number 3")]
+    manifest = sstable.write(docs(spark, rows), scratch.folder(spark, "t"), PATH, shards=6)
+    found = sorted((r.start, r.doc_id, r.n_tokens) for r in sstable.read(manifest).collect())
+    assert manifest.where("first_id = 5 OR last_id = 5").count() > 1 and len(found) == len(rows)
+    assert [k for _, k, _ in found] == [None] * 200 + [5] * 401 + [9]
+    assert all(s + n == following for (s, _, n), (following, *_) in zip(found, found[1:]))
+    assert len(sstable.lookup(spark, manifest, 5)) == 401 and len(sstable.lookup(spark, manifest, None)) == 200
