@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +17,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder that the cluster names; below a local one only where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spatialrank-"))
+    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "step") -> DataFrame:
     """``df`` with its row number from 1 in a total order: range partitions are sorted, counted and shifted.
 

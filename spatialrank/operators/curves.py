@@ -67,6 +67,20 @@ def removal_rows(order: DataFrame, cost: DataFrame) -> DataFrame:
     return joined.select("y", "x", "step", (F.col("step") / F.col("n")).alias("rank"), ((F.col("step") + 1) / (F.col("n") + 1)).alias("prop_lost"), (F.col("n") - F.col("step")).alias("cells_left"), "cost")
 
 
+def loss_map(occ: DataFrame, order: DataFrame, features: DataFrame, blocks: int = 100) -> DataFrame:
+    """y, x, prop_loss: 1 - the least representation, over features of weight 0 or more, at the start of the block of the
+    ranking in which a cell goes.  Removed values are summed by block, so windows span features times blocks."""
+    n = order.agg(F.count("*").alias("n"))
+    placed = order.crossJoin(F.broadcast(n)).select("y", "x", F.ceil(F.col("step") * blocks / F.col("n")).cast("int").alias("block"))
+    kept = features.where("weight >= 0").select("feature")
+    sums = occ.join(F.broadcast(kept), "feature", "left_semi").groupBy("feature").agg(F.sum("value").alias("total")).where("total > 0")
+    lost = occ.join(placed, ["y", "x"]).groupBy("feature", "block").agg(F.sum("value").alias("value"))
+    every = sums.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(blocks)))).join(lost, ["feature", "block"], "left")
+    before = F.coalesce(F.sum(F.coalesce("value", F.lit(0.0))).over(Window.partitionBy("feature").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    least = every.select("block", (before / F.col("total")).alias("lost")).groupBy("block").agg(F.max("lost").alias("prop_loss"))
+    return placed.join(F.broadcast(least), "block", "left").select("y", "x", F.coalesce("prop_loss", F.lit(0.0)).alias("prop_loss"))
+
+
 def bands(rank: DataFrame) -> DataFrame:
     """Seven bands of rank, by the usual breaks."""
     r = F.col("rank")

@@ -135,11 +135,21 @@ def avoided(occ: DataFrame, resource: int, consumer: int, weights, gamma: float
     return _interacted(occ, resource, consumer, weights, gamma, lambda s: 1 - s)
 
 
-def connected(occ: DataFrame, matrix: DataFrame, weights, gamma: float = 1.0) -> DataFrame:
+def connected(occ: DataFrame, matrix: DataFrame, weights: Spread, gamma: float = 1.0, edge: DataFrame | None = None) -> DataFrame:
     """Matrix connectivity: every feature times min(1, conn / (gamma max conn)), conn being the spread of all
-    features weighted by their similarity; normalised."""
+    features weighted by their similarity; normalised.
+
+    ``edge`` (y, x, value) is what lies outside the data, as water: conn is divided by 1 - its own spread over the spread of
+    everything, so that cells beside it don't count as isolated.
+    """
     mixed = occ.join(F.broadcast(matrix), occ.feature == matrix.j).groupBy("y", "x", F.col("i").alias("feature")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
-    conn = convolve(mixed, weights)
+    conn = spread(mixed, weights)
+    if edge is not None:
+        outside = spread(edge.select("y", "x", F.lit(0).alias("feature"), "value"), weights).select("y", "x", F.col("conn").alias("outside"))
+        whole = occ.select("y", "x").distinct().withColumn("value", F.lit(1.0)).unionByName(edge.select("y", "x", "value"))
+        around = spread(whole.select("y", "x", F.lit(0).alias("feature"), "value"), weights).select("y", "x", F.col("conn").alias("around"))
+        share = F.coalesce(F.col("outside") / F.col("around"), F.lit(0.0))
+        conn = conn.join(outside, ["y", "x"], "left").join(around, ["y", "x"], "left").select("y", "x", "feature", F.when(share < 1, F.col("conn") / (1 - share)).otherwise(F.col("conn")).alias("conn"))
     tops = conn.groupBy("feature").agg((F.max("conn") * gamma).alias("top"))
     joined = occ.join(conn, ["y", "x", "feature"]).join(F.broadcast(tops), "feature")
     return normalise(joined.select("y", "x", "feature", (F.col("value") * F.least(F.col("conn") / F.col("top"), F.lit(1.0))).alias("value")))

@@ -2,7 +2,7 @@
 
 A round computes the representation, the delta of every candidate and takes the k smallest by (delta, present
 neighbours, y, x); the state is frozen within a round.  Spark drives it from the driver: the representation is
-one number for each feature, a round's removals are at most k rows.
+one number for each feature; a round's removals are written to the shared folder, and only their number comes back.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut, running_sum
+from ..lineage import cut, running_sum, shared
 from .corridors import fast_penalty
 from .focal import NEAR8, counted, edge
 from .regions import regional_deltas, unit_cost, unit_profiles
 from .rules import boundary_term, buffer_quality_loss, deltas, local_quality_loss, over_cost, random_deltas, state
 
+REMOVALS = "y int, x int, round int, place int"
 #: The most removals of a round that are broadcast; a larger round is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -94,8 +95,7 @@ def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1,
     left = cut(occ)
     before = left.select("y", "x").distinct()
     n_features = features.count()
-    removals: list[tuple] = []
-    turn, n = 0, 0
+    root, turn, n = shared(spark, "rounds"), 0, 0
     while True:
         cells = left.select("y", "x").distinct()
         candidates = edge(cells) if edge_only else cells
@@ -109,16 +109,18 @@ def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1,
         turn += 1
         k = warp if whole_blocks else max(1, min(warp, n // 100))
         found = round_deltas(left, cells, before, features, rule, n_features, seed, cost, also)
-        chosen = [(int(r.y), int(r.x), turn, int(r.place)) for r in block(found.join(candidates, ["y", "x"], "left_semi"), cells, k).collect()]
-        if not chosen:
+        path = f"{root}/{turn}"
+        block(found.join(candidates, ["y", "x"], "left_semi"), cells, k).select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(turn).alias("round"), F.col("place").cast("int").alias("place")).write.parquet(path)
+        chosen = spark.read.schema(REMOVALS).parquet(path)
+        if not (taken := chosen.count()):
             raise ValueError("cells without a cost or weight are left")
-        removals += chosen
-        n -= len(chosen)
-        gone = spark.createDataFrame([c[:2] for c in chosen], "y int, x int")
-        left = left.join(F.broadcast(gone) if len(chosen) <= MOST_BROADCAST else gone, ["y", "x"], "left_anti")
+        n -= taken
+        left = left.join(F.broadcast(chosen) if taken <= MOST_BROADCAST else chosen, ["y", "x"], "left_anti")
         if turn % every == 0:
             left = cut(left)
-    return spark.createDataFrame(removals, "y int, x int, round int, place int")
+    if not turn:
+        return spark.createDataFrame([], REMOVALS)
+    return spark.read.schema(REMOVALS).parquet(*(f"{root}/{i}" for i in range(1, turn + 1)))
 
 
 def rank_units(occ: DataFrame, plu: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, cost: DataFrame | None = None, every: int = 4) -> DataFrame:
@@ -166,7 +168,7 @@ def _beside(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(at[found] == wanted, found, -1)
 
 
-def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neighbours: bool) -> pd.DataFrame:
+def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neighbours: bool, edge_only: bool) -> pd.DataFrame:
     """The same loop over one small landscape in numpy; rows are cells in the order of y, x, dense in features."""
     units = frame.drop_duplicates(["y", "x"]).sort_values(["y", "x"]).reset_index(drop=True)
     at = pd.Series(units.index, index=pd.MultiIndex.from_frame(units[["y", "x"]]))
@@ -193,7 +195,8 @@ def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neigh
             else:
                 slope = np.where(r > 0, np.where(p == 0.25, 1 / (np.sqrt(r) * np.sqrt(np.sqrt(r))), r ** (p - 1)), 0.0)
                 delta = (wv * slope).sum(1)
-        can = np.flatnonzero(alive[ids] & (level[ids] == level[alive].min()))
+        may = alive[ids] & (near[ids] < 8) if edge_only else alive[ids]
+        can = np.flatnonzero(may & (level[ids] == level[ids[may]].min()))
         k = min(warp if whole_blocks else max(1, min(warp, len(can) // 100)), len(can))
         found = np.round(delta[can] / cost[ids[can]], 9)
         least = np.flatnonzero(found <= np.partition(found, k - 1)[k - 1])
@@ -209,16 +212,17 @@ def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neigh
     return pd.DataFrame({"y": y[found[:, 0]], "x": x[found[:, 0]], "round": found[:, 1], "place": found[:, 2]})
 
 
-def rank_small(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, levels: DataFrame | None = None, cost: DataFrame | None = None, seed: int = 0, whole_blocks: bool = True, neighbours: bool = False) -> DataFrame:
+def rank_small(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, levels: DataFrame | None = None, cost: DataFrame | None = None, seed: int = 0, whole_blocks: bool = True, neighbours: bool = False, edge_only: bool = False) -> DataFrame:
     """As ``rank`` for the rules caz, abf and random, in one task: for landscapes of up to some ten million cells
-    times features.  Ties go by (delta, y, x), with ``neighbours`` by (delta, present neighbours, y, x)."""
+    times features.  Ties go by (delta, y, x), with ``neighbours`` by (delta, present neighbours, y, x); with
+    ``edge_only`` only cells next to a missing one can go."""
     if rule not in ("caz", "abf", "random"):
         raise ValueError(f"no kernel for the rule {rule}")
     rows = occ.join(F.broadcast(features.select("feature", "weight", "sr_par")), "feature")
     rows = rows.join(levels, ["y", "x"]).withColumnRenamed("mask_level", "level") if levels is not None else rows.withColumn("level", F.lit(0))
     rows = rows.join(cost.select("y", "x", "cost"), ["y", "x"]) if cost is not None else rows.withColumn("cost", F.lit(1.0))
     rows = rows.join(random_deltas(occ, seed).withColumnRenamed("delta", "chance"), ["y", "x"]) if rule == "random" else rows.withColumn("chance", F.lit(0.0))
-    return rows.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(lambda frame: _kernel(frame, rule, warp, whole_blocks, neighbours), "y int, x int, round int, place int")
+    return rows.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(lambda frame: _kernel(frame, rule, warp, whole_blocks, neighbours, edge_only), "y int, x int, round int, place int")
 
 
 def replay(occ: DataFrame, order: DataFrame) -> DataFrame:
