@@ -95,3 +95,23 @@ def fraction_for_cost(curve: DataFrame, cost: float) -> DataFrame:
     hit = pairs.where((F.col("cost_left") <= cost) & (F.col("next_cost") > cost))
     part = (F.lit(cost) - F.col("cost_left")) / (F.col("next_cost") - F.col("cost_left"))
     return hit.select((F.col("prop_left") + part * (F.col("next_prop") - F.col("prop_left"))).alias("fraction"))
+
+
+def moving_average(rounds: DataFrame, value: str, keep: float = 0.95) -> DataFrame:
+    """round and the moving average of ``value``: keep times the last average and 1 - keep times the new value.
+
+    A ranking has some hundred rounds, so they are one array."""
+    rows = rounds.agg(F.array_sort(F.collect_list(F.struct("round", F.col(value).alias("value")))).alias("rows"))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<round:bigint,average:double>>").alias("out"))
+
+    def step(held, row):
+        now = F.coalesce(held["last"] * keep + row["value"] * (1 - keep), row["value"])
+        return F.struct(now.alias("last"), F.concat(held["out"], F.array(F.struct(row["round"].cast("bigint").alias("round"), now.alias("average")))).alias("out"))
+
+    return rows.select(F.inline(F.aggregate("rows", start, step, lambda held: held["out"])))
+
+
+def point_report(points: DataFrame, order: DataFrame) -> DataFrame:
+    """For each point feature: its points' cells, their sum, and the rank at which the last of them goes."""
+    joined = points.join(order.select("y", "x", "rank"), ["y", "x"])
+    return joined.groupBy("feature").agg(F.count("*").alias("n_cells"), F.sum("value").alias("total"), F.max("rank").alias("lost_at"))

@@ -52,6 +52,11 @@ def edge(cells: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     return marked
 
 
+def border(cells: DataFrame) -> DataFrame:
+    """The missing cells that touch a cell with data."""
+    return shifted(cells.select("y", "x"), NEAR8).select("y", "x").distinct().join(cells, ["y", "x"], "left_anti")
+
+
 def eroded(cells: DataFrame, rounds: int) -> DataFrame:
     """What is left after ``rounds`` of taking away the cells without all eight neighbours."""
     for _ in range(rounds):

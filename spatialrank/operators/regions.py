@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.benefit import loss
 from ..lineage import cut
 
 
@@ -76,6 +77,41 @@ def upstream_counts(tree: DataFrame) -> DataFrame:
     return tree.select("id").join(above, "id", "left").select("id", F.coalesce("above", F.lit(0)).cast("long").alias("above"))
 
 
+def connectivity(tree: DataFrame, sizes: DataFrame, left: DataFrame) -> DataFrame:
+    """id, up0, up, down0, down: cells in the units above and below each, at first and of the units that are ``left``."""
+    held = sizes.join(left.select(F.col("id").alias("plu_id")).withColumn("here", F.lit(1)), "plu_id", "left").select("plu_id", "n_cells", (F.col("n_cells") * F.coalesce("here", F.lit(0))).alias("now"))
+    paths = closure(tree).select("id", "below")
+    above = paths.join(held, paths.id == held.plu_id).groupBy(F.col("below").alias("id")).agg(F.sum("n_cells").alias("up0"), F.sum("now").alias("up"))
+    below = paths.join(held, paths.below == held.plu_id).groupBy("id").agg(F.sum("n_cells").alias("down0"), F.sum("now").alias("down"))
+    every = tree.select("id").join(above, "id", "left").join(below, "id", "left")
+    return every.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("up0", "up", "down0", "down")))
+
+
+def tree_loss(tree: DataFrame, profiles: DataFrame, sizes: DataFrame, left: DataFrame, up: list[tuple[float, float]], down: list[tuple[float, float]]) -> DataFrame:
+    """plu_id, feature, loss: what the removal of each unit that is ``left`` takes of each feature by a tree's connectivity.
+
+    A unit's value counts by the responses to the shares of what was above and below it that are still there; one
+    with nothing above or below at first counts in full.  The unit itself loses that; units below it lose the fall of the
+    response ``up`` as it goes, units above it that of the response ``down``.
+    """
+    here = connectivity(tree, sizes, left).join(left.select("id"), "id", "left_semi")
+    held = here.join(sizes.withColumnRenamed("plu_id", "id"), "id")
+
+    def response(kind: str, points: list[tuple[float, float]], taken: str | None = None):
+        now = F.col(kind) - F.col(taken) if taken else F.col(kind)
+        return F.when(F.col(f"{kind}0") > 0, loss(now / F.col(f"{kind}0"), points)).otherwise(0.0 if taken else 1.0)
+
+    own = held.select("id", F.col("id").alias("of"), (response("up", up) * response("down", down)).alias("share"))
+    paths = closure(tree).select("id", "below").join(left.select("id"), "id", "left_semi").join(left.select(F.col("id").alias("below")), "below", "left_semi")
+    taken = sizes.select(F.col("plu_id").alias("goes"), F.col("n_cells").alias("taken"))
+    under = paths.select(F.col("id").alias("goes"), F.col("below").alias("id")).join(taken, "goes").join(here, "id")
+    lower = under.select(F.col("goes").alias("id"), F.col("id").alias("of"), (response("down", down) * (response("up", up) - response("up", up, "taken"))).alias("share"))
+    over = paths.select(F.col("below").alias("goes"), "id").join(taken, "goes").join(here, "id")
+    upper = over.select(F.col("goes").alias("id"), F.col("id").alias("of"), (response("up", up) * (response("down", down) - response("down", down, "taken"))).alias("share"))
+    shares = own.union(lower).union(upper)
+    return shares.join(profiles.withColumnRenamed("plu_id", "of"), "of").groupBy(F.col("id").alias("plu_id"), "feature").agg(F.sum(F.col("value") * F.col("share")).alias("loss"))
+
+
 def representation(occ: DataFrame, cells: DataFrame) -> DataFrame:
     """The share of each feature in each administrative unit."""
     sums = occ.groupBy("feature").agg(F.sum("value").alias("total"))
@@ -124,8 +160,8 @@ def area_ranks(rank: DataFrame, cells: DataFrame, area: DataFrame) -> DataFrame:
     return joined.select("y", "x", "admu", (F.sum("area").over(own.orderBy("step")) / F.sum("area").over(own)).alias("rank"))
 
 
-def curves(occ: DataFrame, cells: DataFrame, order: DataFrame, features: DataFrame, parts: int, by_group: bool = False) -> DataFrame:
-    """By unit (and group) at ``parts`` equal snapshots of the ranking: min, mean, max and weighted mean of what is left."""
+def curves(occ: DataFrame, cells: DataFrame, order: DataFrame, features: DataFrame, parts: int, by_group: bool = False, by_feature: bool = False) -> DataFrame:
+    """By unit (and group, or feature) at ``parts`` equal snapshots of the ranking: min, mean, max and weighted mean of what is left."""
     n = order.agg(F.count("*").alias("n"))
     rows = occ.join(cells.select("y", "x", "admu"), ["y", "x"]).join(order.select("y", "x", "step"), ["y", "x"]).crossJoin(F.broadcast(n))
     part = F.ceil(F.col("step") * parts / F.col("n")).cast("int")
@@ -134,5 +170,5 @@ def curves(occ: DataFrame, cells: DataFrame, order: DataFrame, features: DataFra
     joined = every.join(sums, ["admu", "feature", "part"], "left")
     lost = F.sum(F.coalesce("value", F.lit(0.0))).over(Window.partitionBy("admu", "feature").orderBy("part"))
     left = joined.withColumn("repr", 1 - lost / F.col("total")).join(F.broadcast(features.select("feature", "weight", "grp")), "feature").where("weight >= 0")
-    keys = ["admu", "part", "grp"] if by_group else ["admu", "part"]
+    keys = ["admu", "part", *(["grp"] if by_group else []), *(["feature"] if by_feature else [])]
     return left.groupBy(*keys).agg(F.min("repr").alias("min_rem"), F.avg("repr").alias("mean_rem"), F.max("repr").alias("max_rem"), (F.sum(F.col("repr") * F.col("weight")) / F.sum("weight")).alias("wmean_rem"))

@@ -95,6 +95,41 @@ def buffer_quality_loss(occ: DataFrame, now: DataFrame, before: DataFrame, radiu
     return moved.join(now.select("y", "x"), ["y", "x"], "left_semi")
 
 
+def unit_quality_loss(occ: DataFrame, now: DataFrame, before: DataFrame, plu: DataFrame, radius: int, profile: list[tuple[float, float]]) -> DataFrame:
+    """plu_id, feature, loss: what a planning unit's removal takes by the boundary's quality.
+
+    Its own cells lose value times response; each cell outside it that has k of the unit's cells within the radius loses
+    value times the fall of the response from the neighbours there now to k fewer.
+    """
+    ring = [o for o in box(radius) if o != (0, 0)]
+    own = local_quality_loss(occ, now, before, radius, profile).join(plu, ["y", "x"]).select("plu_id", "feature", "loss")
+    units = plu.join(now.select("y", "x"), ["y", "x"], "left_semi")
+    # by outside cell and unit: how many of the unit's cells are near
+    near = shifted(units, ring).groupBy("y", "x", "plu_id").agg(F.count("*").alias("k"))
+    outside = near.join(units.select("y", "x", F.col("plu_id").alias("inside")), ["y", "x"]).where("plu_id <> inside")
+    around = counted(now, ring, "left").join(counted(before, ring, "orig"), ["y", "x"]).where("orig > 0")
+    fall = loss(F.col("left") / F.col("orig"), profile) - loss((F.col("left") - F.col("k")) / F.col("orig"), profile)
+    falls = outside.join(around, ["y", "x"]).select("y", "x", "plu_id", fall.alias("fall"))
+    given = occ.where("value > 0").join(falls, ["y", "x"]).select("plu_id", "feature", (F.col("value") * F.col("fall")).alias("loss"))
+    return own.unionByName(given).groupBy("plu_id", "feature").agg(F.sum("loss").alias("loss"))
+
+
+def point_deltas(points: DataFrame, now: DataFrame, rule: str) -> DataFrame:
+    """The point features' part of each cell's delta: the largest weighted share for core areas, else the benefit that
+    the cell's removal takes, as a difference."""
+    joined = points.join(F.broadcast(now), "feature").where("r > 0")
+    less = F.greatest(F.col("r") - F.col("value"), F.lit(0.0))
+    if rule == "caz":
+        found = F.max(F.col("weight") * F.col("value") / F.col("r"))
+    elif rule == "gbf":
+        p = [F.col(c) for c in ("weight", "tj", "w2", "exp1", "exp2")]
+        found = F.sum(rr4(F.col("r"), *p) - rr4(less, *p))
+    else:
+        p = F.col("sr_par") if rule == "abf" else F.lit(0.25)
+        found = F.sum(F.col("weight") * (power(F.col("r"), p) - power(less, p)))
+    return joined.groupBy("y", "x").agg(found.alias("delta"))
+
+
 def split_risk(cells: DataFrame) -> DataFrame:
     """The cells whose removal may split what is around them: over one side neighbour and under seven neighbours."""
     both = counted(cells, NEAR4, "nb4").join(counted(cells, NEAR8, "nb8"), ["y", "x"])

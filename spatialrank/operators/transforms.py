@@ -183,3 +183,28 @@ def centroids(occ: DataFrame) -> DataFrame:
 def statistics(layer: DataFrame, name: str) -> DataFrame:
     return layer.agg(F.count(name).alias("n"), F.min(name).alias("low"), F.max(name).alias("high"), F.avg(name).alias("mean"), F.stddev_pop(name).alias("deviation"))
 
+
+def cell_size_alphas(features: DataFrame, occ: DataFrame, area: DataFrame) -> DataFrame:
+    """Kernel parameters where cells differ in size: alpha times sqrt(area at the feature's centre) over sqrt(largest area).
+    A centre without an area keeps its alpha."""
+    top = area.agg(F.max("area").alias("top"))
+    middle = centroids(occ).select("feature", F.floor(F.col("cy") + 0.5).cast("int").alias("y"), F.floor(F.col("cx") + 0.5).cast("int").alias("x"))
+    joined = features.join(middle, "feature").join(area.select("y", "x", "area"), ["y", "x"], "left").crossJoin(F.broadcast(top))
+    return joined.select("feature", (F.col("alpha") * F.sqrt(F.coalesce("area", "top")) / F.sqrt("top")).alias("alpha"))
+
+
+def cost_report(cost: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cost on the cells with data and on others, and the cells with data whose cost isn't over 0 or is missing."""
+    joined = cost.join(cells.select("y", "x").withColumn("here", F.lit(True)), ["y", "x"], "full_outer")
+    here, good = F.col("here").isNotNull(), F.coalesce(F.col("cost") > 0, F.lit(False))
+    total = lambda where: F.coalesce(F.sum(F.when(where, F.col("cost"))), F.lit(0.0))
+    return joined.agg(total(here).alias("inside"), total(~here).alias("outside"), F.count_if(here & ~good).alias("bad_cells"))
+
+
+def density_report(occ: DataFrame) -> DataFrame:
+    """How many occurrences, cells and features there are, features of a cell on average and at most, and the share of all
+    cells times features that is filled."""
+    by = occ.groupBy("y", "x").agg(F.count("*").alias("n"))
+    cells = by.agg(F.sum("n").alias("occurrences"), F.count("*").alias("cells"), F.avg("n").alias("mean_features"), F.max("n").alias("most_features"))
+    kinds = occ.groupBy("feature").count().agg(F.count("*").alias("features"))
+    return cells.crossJoin(kinds).withColumn("filled", F.col("occurrences") / (F.col("cells") * F.col("features")))

@@ -22,6 +22,9 @@ FROM nation WHERE n_nationkey<8"""),
 FROM (SELECT DISTINCT y, x FROM occ) c"""),
     "cost": (("cells",), """SELECT c.y, c.x, CAST(1+COALESCE(o.n,0) AS DOUBLE) AS cost FROM cells c LEFT JOIN (
   SELECT CAST(o_custkey%96 AS INT) AS y, CAST(o_orderkey%128 AS INT) AS x, COUNT(*) AS n FROM orders GROUP BY 1,2) o ON c.y=o.y AND c.x=o.x"""),
+    "rawcost": ((), "SELECT CAST(o_custkey%96 AS INT) AS y, CAST(o_orderkey%128 AS INT) AS x, CAST(COUNT(*)-1 AS DOUBLE) AS cost FROM orders GROUP BY 1,2"),
+    "sizes": (("cells",), "SELECT plu_id, COUNT(*) AS n_cells FROM cells GROUP BY plu_id"),
+    "profiles": (("cells", "occ"), "SELECT plu_id, feature, SUM(value) AS value FROM occ JOIN cells ON occ.y=cells.y AND occ.x=cells.x GROUP BY plu_id, feature"),
     "ssi": ((), """SELECT CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS INT) AS feature, CAST(event_id%96 AS INT) AS y,
        CAST((user_id*31+event_id)%128 AS INT) AS x, CAST(SUM(FLOOR(value)) AS DOUBLE) AS value FROM events GROUP BY 1,2,3"""),
     "tree": (("cells",), """SELECT DISTINCT plu_id AS id, CASE WHEN plu_id=0 THEN -1 ELSE CAST(FLOOR((plu_id-1)/4.0) AS INT) END AS down_id FROM cells"""),

@@ -619,9 +619,11 @@ def plu_profiles(f: Fixture) -> DataFrame:
     return regions.unit_profiles(f.occ, f.cells)
 
 
-@query("occ cells", "SELECT CAST(0 AS BIGINT) AS without_unit, CAST(COUNT(*) AS BIGINT) AS without_data FROM cells WHERE beta IS NULL")
+@query("occ cells", """, u AS (SELECT y, x FROM cells WHERE (x+y)%7<>0), d AS (SELECT DISTINCT y, x FROM occ WHERE (x+2*y)%9<>0)
+SELECT COUNT(*) FILTER (WHERE u.y IS NULL) AS without_unit, COUNT(*) FILTER (WHERE d.y IS NULL) AS without_data FROM u FULL OUTER JOIN d ON u.y=d.y AND u.x=d.x""")
 def plu_alignment(f: Fixture) -> DataFrame:
-    return regions.alignment(f.cells, f.occ)
+    """Units and data that each lack some cells of the other."""
+    return regions.alignment(f.cells.where("(x + y) % 7 <> 0"), f.occ.where("(x + 2 * y) % 9 <> 0"))
 
 
 _TREE = ", known AS (SELECT t.id, CASE WHEN k.id IS NULL THEN -1 ELSE t.down_id END AS down_id FROM tree t LEFT JOIN tree k ON k.id=t.down_id), r AS (SELECT id, down_id AS below FROM known WHERE down_id<>-1 UNION ALL SELECT r.id, k.down_id FROM r JOIN known k ON k.id=r.below WHERE k.down_id<>-1)"

@@ -3,11 +3,13 @@
 import duckdb
 import pytest
 
+from spatialrank.plans import losses  # registers its queries
 from spatialrank.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("nation", "part", "orders", "lineitem", "events")
-CHOSEN = ["occ_normalised", "infogap_prop", "retention_weights", "deterministic_omissions", "box_count_r2", "convolve_exp_r3", "interaction_negative", "delta_caz_negw", "delta_gbf", "bqp_buffer", "two_round_unrolled_full", "greedy_abf_window", "greedy_masked_window", "rank_map", "replay_curves", "group_curves", "tree_amounts", "admu_area_rank", "networks", "top_fraction_boundary", "cells_for_90pct", "cost_for_fraction"]
+CHOSEN = ["occ_normalised", "infogap_prop", "retention_weights", "deterministic_omissions", "box_count_r2", "convolve_exp_r3", "interaction_negative", "delta_caz_negw", "delta_gbf", "bqp_buffer", "two_round_unrolled_full", "greedy_abf_window", "greedy_masked_window", "rank_map", "replay_curves", "group_curves", "tree_amounts", "admu_area_rank", "networks", "top_fraction_boundary", "cells_for_90pct", "cost_for_fraction", "plu_alignment"]
+CHOSEN += [n for n in vars(losses) if n in QUERIES]
 
 
 @pytest.fixture(scope="module")
