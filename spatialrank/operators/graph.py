@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .focal import NEAR4, NEAR8, box, shifted
+from .focal import NEAR4, NEAR8, box, edge, shifted
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -15,6 +17,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The number of rounds grows with the logarithm of a component's width; each is checkpointed.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    if both.isEmpty():
+        return nodes.select("id", F.col("id").alias("label"))
     labels = cut(nodes.select("id").withColumn("label", F.col("id")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
@@ -26,12 +30,54 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def patches(cells: DataFrame, xd: int, diagonal: bool = True) -> DataFrame:
-    """y, x, label of each cell's patch; the label is the least y * xd + x in it."""
-    ids = cells.select("y", "x", (F.col("y").cast("long") * xd + F.col("x")).alias("id"))
-    moved = shifted(ids.select("y", "x", F.col("id").alias("b")), NEAR8 if diagonal else NEAR4)
-    edges = ids.join(moved, ["y", "x"]).select(F.col("id").alias("a"), "b")
-    return ids.join(components(ids, edges), "id").select("y", "x", "label")
+def _labelled(y: np.ndarray, x: np.ndarray, diagonal: bool) -> np.ndarray:
+    """For cells sorted by y, x: the place of the first cell of each one's patch, by joining the runs of adjacent rows."""
+    new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)])
+    first = np.flatnonzero(new)
+    row, begin, end = y[first], x[first], x[np.append(first[1:], len(x)) - 1]
+    root = list(range(len(first)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    reach, above = int(diagonal), 0
+    for i in range(len(first)):
+        while row[above] < row[i] - 1 or (row[above] == row[i] - 1 and end[above] + reach < begin[i]):
+            above += 1
+        k = above
+        while row[k] == row[i] - 1 and begin[k] <= end[i] + reach:
+            a, b = find(k), find(i)
+            root[max(a, b)] = min(a, b)
+            k += 1
+    return first[np.array([find(i) for i in range(len(first))])][np.cumsum(new) - 1]
+
+
+def patches(cells: DataFrame, xd: int, diagonal: bool = True, tile: int = 512) -> DataFrame:
+    """y, x, label of each cell's patch; the label is the least y * xd + x in it.
+
+    Cells are labelled within tiles, a task each; only what meets at the tiles' borders is joined over the cluster.
+    """
+
+    def task(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["y", "x"])
+        y, x = frame.y.to_numpy(), frame.x.to_numpy()
+        first = _labelled(y, x, diagonal)
+        return pd.DataFrame({"y": y, "x": x, "part": y[first].astype(np.int64) * xd + x[first]})
+
+    side = lambda c: F.floor(F.col(c) / tile)
+    tiled = cells.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct().groupBy(side("y").alias("ty"), side("x").alias("tx"))
+    local = cut(tiled.applyInPandas(task, "y int, x int, part long"))
+    ends = [F.pmod(c, F.lit(tile)).isin(0, tile - 1) for c in ("y", "x")]
+    rim = local.where(ends[0] | ends[1])
+    moved = shifted(rim.select("y", "x", F.col("part").alias("b")), NEAR8 if diagonal else NEAR4)
+    edges = cut(rim.join(moved, ["y", "x"]).where("part <> b").select(F.col("part").alias("a"), "b").distinct())
+    if edges.isEmpty():
+        return local.withColumnRenamed("part", "label")
+    joined = components(edges.select(F.col("a").alias("id")).distinct(), edges)
+    return local.join(joined, local.part == joined.id, "left").select("y", "x", F.coalesce("label", "part").alias("label"))
 
 
 def patch_stats(labels: DataFrame, rank: DataFrame) -> DataFrame:
@@ -55,12 +101,13 @@ def component_stats(labels: DataFrame, occ: DataFrame) -> DataFrame:
 def near_patches(labels: DataFrame, distance: int) -> DataFrame:
     """Pairs of patches a < b with cells at most ``distance`` apart; 0 gives none.
 
-    Cells meet on a tile: every cell goes to the tiles that its disc touches, the tile's side being the distance.
+    Only cells beside a missing one can be a patch's nearest.  They meet on a tile: every cell goes to the tiles that its
+    disc touches, the tile's side being the distance.
     """
     if distance <= 0:
         return labels.select(F.col("label").alias("a"), F.col("label").alias("b")).limit(0)
     tile = lambda c: F.floor(F.col(c) / distance).cast("int")
-    tiled = labels.select("label", "y", "x", tile("y").alias("ty"), tile("x").alias("tx"))
+    tiled = labels.join(edge(labels), ["y", "x"], "left_semi").select("label", "y", "x", tile("y").alias("ty"), tile("x").alias("tx"))
     moves = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in box(1)))
     spread = tiled.withColumn("m", F.explode(moves)).select(F.col("label").alias("b"), F.col("y").alias("y2"), F.col("x").alias("x2"), (F.col("ty") + F.col("m.dy")).alias("ty"), (F.col("tx") + F.col("m.dx")).alias("tx"))
     far = (F.col("y") - F.col("y2")) ** 2 + (F.col("x") - F.col("x2")) ** 2

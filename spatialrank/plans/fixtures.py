@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..landscape import Grid
+from ..lineage import numbered
 
 GRID = Grid(96, 128)
 #: name -> (the expressions it needs, its SQL); valid in both engines.
@@ -82,6 +83,22 @@ class Fixture:
             self._made[name] = self.spark.sql(text, **used)
         return self._made[name]
 
+    def _order(self, worth: str) -> DataFrame:
+        """The cells by the sum or the max of their values: numbered in range partitions, as no task could hold them all."""
+        if worth not in self._made:
+            rows = numbered(self.occ.groupBy("y", "x").agg(F.expr(f"{worth}(value)").alias("worth")), [F.col(c) for c in ("worth", "y", "x")])
+            n = rows.agg(F.count("*").alias("n"))
+            self._made[worth] = rows.crossJoin(F.broadcast(n)).select("y", "x", F.col("step").cast("long").alias("step"), (F.col("step") / F.col("n")).alias("rank"))
+        return self._made[worth]
+
+    @property
+    def ranked(self) -> DataFrame:
+        return self._order("sum")
+
+    @property
+    def ranked2(self) -> DataFrame:
+        return self._order("max")
+
     @property
     def negative(self) -> DataFrame:
         """The features with the weight of feature 7 at -1."""

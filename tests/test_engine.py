@@ -146,6 +146,28 @@ def test_tree(spark):
         regions.closure(tree([(0, 1), (1, 2), (2, 0)])).collect()
 
 
+def test_patches_over_tiles(spark):
+    random = np.random.default_rng(6)
+    cells = spark.createDataFrame([(int(y), int(x)) for y, x in np.argwhere(random.random((40, 50)) < 0.45)], "y int, x int")
+    present = {tuple(r) for r in cells.collect()}
+    for diagonal in (True, False):
+        near = focal.NEAR8 if diagonal else focal.NEAR4
+        want, left = {}, set(present)
+        for cell in sorted(present):
+            if cell in left:
+                found, label = [cell], cell[0] * 50 + cell[1]
+                left.discard(cell)
+                while found:
+                    y, x = found.pop()
+                    want[y, x] = label
+                    for n in ((y + dy, x + dx) for dy, dx in near):
+                        if n in left:
+                            left.discard(n)
+                            found.append(n)
+        for tile in (7, 512):
+            assert {(r.y, r.x): r.label for r in graph.patches(cells, 50, diagonal, tile).collect()} == want
+
+
 def test_patches_and_erosion(spark):
     block = [(y, x) for y in range(1, 6) for x in range(1, 6)]
     cells = spark.createDataFrame(block + [(6, 6), (9, 9), (9, 10)], "y int, x int")
