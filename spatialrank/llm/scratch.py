@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +35,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return it as a scan of the written table."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.scratch_path = path
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has made, after their last reader."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch_path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that are no longer referred to, instead of at some later time."""
+    """Let Spark delete the shuffle files of tables that are no longer referred to, instead of at some later time.
+
+    Spark deletes them in a thread of its own, which gets a moment.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.4)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -15,7 +15,10 @@ held-out fold, or is given.  Scoring reads every whole text.
 
 Null and empty texts are scored by the bias alone.  Repeated rows are scored each.  Labels without a
 document, null labels and null identifiers teach nothing; of several labels of a document the highest counts.
-Without a toxic example the score is the prior, 0 where there are no labels.
+Without a toxic example the score is the prior, 0 where there are no labels.  Very long texts are scored whole; an
+empty table gives no rows; other columns of the table aren't read.
+
+The features of the sample stay on the executors: they count them and send the chosen ones only.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import LOWER, WORDLIKE, _U, range_hashes, segment_ids, text_bytes, words
+from . import scratch
+from .bytesops import LOWER, WORDLIKE, _U, ragged, range_hashes, segment_ids, text_bytes, words
 from .learning import Adam, first_ids, map_texts, remainder, sigmoid, texts_of
 
 #: Hashed features are numbers of so many bits; the highest bit is for those that come up often.
@@ -57,8 +61,7 @@ def _features(found: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _different(texts: pa.Array) -> list[pa.Array]:
     keys = _features(*occurrences(texts))
-    parts = np.split((keys & ((1 << BITS) - 1)).astype("<i4"), np.cumsum(np.bincount(keys >> BITS, minlength=len(texts)))[:-1])
-    return [pa.array([p.tobytes() for p in parts], pa.binary())]
+    return [ragged((keys & ((1 << BITS) - 1)).astype(np.int32), np.bincount(keys >> BITS, minlength=len(texts)))]
 
 
 @dataclass
@@ -88,6 +91,17 @@ class Model:
         return map_texts(docs, function, "score double")
 
 
+def risk_slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a step follows: the slopes of the risk by the outputs for positives and for unlabelled, or, where the risk
+    of negatives is below zero, those of its rise."""
+    sp, su = sigmoid(zp), sigmoid(zu)
+    slope_p, slope_u = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+    # loss as positive: 1 - s; as negative: s
+    if su.mean() - prior * sp.mean() >= 0:
+        return -2 * prior * slope_p, slope_u
+    return prior * slope_p, -slope_u
+
+
 def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, batch: int = 512, rate: float = 0.03, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier by the non-negative risk estimator; rows are examples."""
     random = np.random.default_rng(seed)
@@ -100,14 +114,7 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     for _ in range(steps):
         p = positive[random.integers(0, len(positive), batch)].astype(np.float64)
         u = unlabelled[random.integers(0, len(unlabelled), batch)].astype(np.float64)
-        sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
-        slope_p, slope_u = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
-        # loss as positive: 1 - s; as negative: s
-        negative = su.mean() - prior * sp.mean()
-        if negative >= 0:
-            gp, gu = -2 * prior * slope_p, slope_u
-        else:
-            gp, gu = prior * slope_p, -slope_u
+        gp, gu = risk_slopes(p @ w + b, u @ w + b, prior)
         adam.update([p.T @ gp + u.T @ gu + decay * w, np.array([gp.sum() + gu.sum()])])
     return w, float(b[0])
 
@@ -119,38 +126,41 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         prior = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     toxic = first_ids(labels.where("toxic = 1"), most_positive)
     others = first_ids(docs.where(remainder(folds) != held_out).select("doc_id"), most_unlabelled)
-    others = sorted(set(others) - set(toxic))
-    rows = map_texts(texts_of(docs, toxic + others), _different, "features binary").collect()
-    toxic = set(toxic)
-    sets = {True: {}, False: {}}
-    for r in rows:
-        sets[r.doc_id in toxic][bytes(r.features)] = None
-    groups = [[np.frombuffer(s, "<i4") for s in sorted(sets[k])] for k in (True, False)]
-    none = np.zeros(0, np.int32)
-    if not groups[0] or not groups[1]:
-        return Model(none, np.zeros(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-    return fit(*groups, prior, features)
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 1024) -> Model:
-    """Choose the features whose shares differ most, weigh them by rarity, and learn."""
-    groups = (positive, unlabelled)
-    df = [np.bincount(np.concatenate(g), minlength=1 << BITS) for g in groups]
-    share = [(d + 0.5) / (len(g) + 1) for d, g in zip(df, groups, strict=True)]
-    strength = np.abs(share[0] - share[1]) / np.sqrt(share[0] + share[1])
-    strength[df[0] + df[1] < 3] = 0
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:features])
-    chosen = chosen[strength[chosen] > 0]
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
+    known = set(toxic)
+    others = [i for i in others if i not in known]
+    found = map_texts(texts_of(docs, toxic + others), _different, "features array<int>")
+    marks = docs.sparkSession.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in others], "doc_id long, toxic int")
+    sample = scratch.materialize(found.join(F.broadcast(marks), "doc_id").select("toxic", "features").distinct(), "toxicsample")
+    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
+    chosen, shares = choose(sample, sizes[1], sizes[0], features)
+    # only the chosen features of the sample come to the driver
+    kept = sample.select("toxic", F.array_intersect("features", F.lit(chosen).cast("array<int>")).alias("features")).collect()
+    groups = [sorted(r.features for r in kept if r.toxic == k) for k in (1, 0)]
+    return fit(*groups, chosen, shares, prior)
+
+
+def choose(sample: DataFrame, positives: int, others: int, most: int) -> tuple[list[int], list[float]]:
+    """The features of ``sample(toxic, features)`` whose shares of the two groups differ most, in ascending order, and
+    their shares of the unlabelled; those of fewer than three documents don't count."""
+    each = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u"))
+    p, u = (F.col("p") + 0.5) / (positives + 1), (F.col("u") + 0.5) / (others + 1)
+    rows = each.where("p + u >= 3").select("feature", (F.abs(p - u) / F.sqrt(p + u)).alias("strength"), u.alias("share")).where("strength > 0")
+    top = sorted((r.feature, r.share) for r in rows.orderBy(F.desc("strength"), "feature").limit(most).collect())
+    return [f for f, _ in top], [s for _, s in top]
+
+
+def fit(positive: list[list[int]], unlabelled: list[list[int]], chosen: list[int], shares: list[float], prior: float) -> Model:
+    """Weigh the chosen features by rarity, and learn; examples are lists of features among ``chosen``."""
+    chosen = np.array(chosen, np.int64)
     # a feature of many documents says little by itself: it counts by how rare it is
-    rarity = np.sqrt(np.maximum(0.0, -np.log(np.minimum(1, share[1][chosen]))) / 8)
+    rarity = np.sqrt(np.maximum(0.0, -np.log(np.minimum(1, np.array(shares)))) / 8)
     matrices = []
-    for g in groups:
-        m = np.zeros((len(g), len(chosen)), np.float32)
-        for i, s in enumerate(g):
-            hit = place[s]
-            m[i, hit[hit >= 0]] = 1
+    for group in (positive, unlabelled):
+        m = np.zeros((len(group), len(chosen)), np.float32)
+        for i, s in enumerate(group):
+            m[i, np.searchsorted(chosen, s)] = 1
         matrices.append(m * rarity.astype(np.float32))
     w, b = nnpu(*matrices, prior)
     return Model(chosen, w * rarity, b)
