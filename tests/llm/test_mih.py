@@ -54,3 +54,25 @@ def test_odd_rows(spark, monkeypatch):
     few = mih.search(table.limit(2), asks, 3).collect()
     assert [(r.query_id, r.vec_id) for r in few] == [(100, 1)]
     assert mih.search(table.limit(0), asks).count() == 0
+
+
+def test_recall_and_reranking_at_two_sizes():
+    random = np.random.default_rng(7)
+    for n, most in ((1500, 0.2), (12_000, 0.16)):
+        vectors = random.standard_normal((n, 48))
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        sample = vectors[: mih.SAMPLE]
+        coder = mih.Coder(sample, rounds=5, copies=mih.COPIES)
+        radius = mih.radius_for(sample, coder, 10)
+        shard, hits, reranked = mih.Shard(np.arange(n), vectors, coder), 0, 0
+        for q in range(0, n, n // 40):
+            code = coder.codes(vectors[q : q + 1])[0]
+            found = shard.within(code, radius)
+            assert found.tolist() == np.flatnonzero(mih.hamming(shard.codes, code) <= radius).tolist()
+            far = ((vectors - vectors[q]) ** 2).sum(1)
+            far[q] = np.inf
+            hits += len(set(np.argsort(far)[:10].tolist()) & set(shard.nearest(q, vectors[q], code, radius, 10)[0].tolist()))
+            reranked += len(found)
+        asked = len(range(0, n, n // 40))
+        # the vectors have no clusters at all, the worst case for the codes
+        assert hits / (10 * asked) >= 0.9 and reranked / (asked * n) <= most
