@@ -71,6 +71,59 @@ def split_parts(present: np.ndarray, y: int, x: int, amount: np.ndarray) -> list
     return parts
 
 
+def joined_nearby(present: np.ndarray, start: tuple[int, int], goal: tuple[int, int], reach: int) -> bool:
+    """Whether a path over side neighbours joins two cells within ``reach`` rows and columns of the first."""
+    (y, x), seen, queue = start, {start}, deque([start])
+    while queue:
+        a, b = queue.popleft()
+        if (a, b) == goal:
+            return True
+        for dy, dx in NEAR4:
+            n = (a + dy, b + dx)
+            if n not in seen and abs(n[0] - y) <= reach and abs(n[1] - x) <= reach and 0 <= n[0] < present.shape[0] and 0 <= n[1] < present.shape[1] and present[n]:
+                seen.add(n)
+                queue.append(n)
+    return False
+
+
+def cut_cells(y: np.ndarray, x: np.ndarray, amount: np.ndarray) -> dict[int, list[float]]:
+    """For a connected set of cells: the place of each one whose removal splits it, and the amounts of the parts.
+
+    One walk in depth over the cells: a branch that reaches nothing above a cell comes apart when the cell goes.
+    """
+    width = int(x.max() - x.min()) + 3
+    at = (y - y.min() + 1).astype(np.int64) * width + (x - x.min() + 1)
+    order = np.argsort(at)
+    wanted = at[:, None] + np.array([dy * width + dx for dy, dx in NEAR4])
+    found = np.minimum(np.searchsorted(at, wanted, sorter=order), len(at) - 1)
+    beside = np.where(at[order[found]] == wanted, order[found], -1).tolist()
+    seen, low, below, parts = [-1] * len(y), [0] * len(y), amount.astype(float).tolist(), {}
+    seen[0], count, walk = 0, 1, [(0, -1, 0)]
+    while walk:
+        v, parent, k = walk.pop()
+        if k < 4:
+            walk.append((v, parent, k + 1))
+            n = beside[v][k]
+            if n < 0 or n == parent:
+                continue
+            if seen[n] >= 0:
+                low[v] = min(low[v], seen[n])
+            else:
+                seen[n] = low[n] = count
+                count += 1
+                walk.append((n, v, 0))
+        elif parent >= 0:
+            low[parent] = min(low[parent], low[v])
+            below[parent] += below[v]
+            if low[v] >= seen[parent]:
+                parts.setdefault(parent, []).append(below[v])
+    whole = float(amount.sum())
+    for v, held in parts.items():
+        if v:
+            held.append(whole - float(amount[v]) - sum(held))
+    return {v: held for v, held in parts.items() if len(held) > 1}
+
+
 #: formula -> (parts' amounts, the component's amount, all that remains, labels) -> share
 FORMULAS = {
     1: lambda p, own, rest: sorted(p)[-2] / rest,
@@ -83,7 +136,7 @@ FORMULAS = {
 def exact_penalty(cells: DataFrame, occ: DataFrame, yd: int, xd: int, strength: float, formula: int = 1) -> DataFrame:
     """The penalty from the parts that really come apart; formulas 1-4 by richness, 11-14 by area.
 
-    Components are found in parallel; each component's cells are then one group, so a component must fit a task.
+    Components are found in parallel; each component's cells are then one group, walked once, so a component must fit a task.
     """
     by_area = formula > 10
     labels = patches(cells, xd, diagonal=False)
@@ -94,18 +147,10 @@ def exact_penalty(cells: DataFrame, occ: DataFrame, yd: int, xd: int, strength:
     share = FORMULAS[formula % 10]
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
-        present, amount = np.zeros((yd + 2, xd + 2), bool), np.zeros((yd + 2, xd + 2))
-        present[frame.y, frame.x] = True
-        amount[frame.y, frame.x] = 1.0 if by_area else frame.richness
-        own, whole, out = amount.sum(), float(frame["n" if by_area else "rest"].iloc[0]), []
-        for y, x in zip(frame.y.tolist(), frame.x.tolist(), strict=True):
-            if not may_split(present, y, x):
-                continue
-            present[y, x] = False
-            parts = [t for _, t in split_parts(present, y, x, amount)]
-            present[y, x] = True
-            if len(parts) > 1:
-                out.append((y, x, strength * share(parts, own - amount[y, x], whole)))
+        y, x = frame.y.to_numpy(), frame.x.to_numpy()
+        amount = np.ones(len(y)) if by_area else frame.richness.to_numpy()
+        own, whole = float(amount.sum()), float(frame["n" if by_area else "rest"].iloc[0])
+        out = [(y[v], x[v], strength * share(parts, own - amount[v], whole)) for v, parts in cut_cells(y, x, amount).items()]
         return pd.DataFrame(out, columns=["y", "x", "penalty"])
 
     return rows.groupBy("label").applyInPandas(task, "y int, x int, penalty double")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.benefit import KERNELS
@@ -57,6 +57,20 @@ def border(cells: DataFrame) -> DataFrame:
     return shifted(cells.select("y", "x"), NEAR8).select("y", "x").distinct().join(cells, ["y", "x"], "left_anti")
 
 
+def clearance(cells: DataFrame) -> DataFrame:
+    """How much room is around each cell: in four directions (rows, columns, both diagonals) the steps that can be made to
+    both sides at once, the cell itself being the first; the whole part of the root of the sum of their squares."""
+    lines = {"e": F.col("y"), "n": F.col("x"), "d": F.col("y") - F.col("x"), "u": F.col("y") + F.col("x")}
+    out = cells.select("y", "x")
+    for name, line in lines.items():
+        along = F.col("y") if name == "n" else F.col("x")
+        runs = Window.partitionBy("__line", "__run")
+        out = out.withColumn("__line", line).withColumn("__at", along).withColumn("__run", F.col("__at") - F.row_number().over(Window.partitionBy("__line").orderBy("__at")))
+        both = F.least(F.col("__at") - F.min("__at").over(runs), F.max("__at").over(runs) - F.col("__at")) + 1
+        out = out.withColumn(name, both).drop("__line", "__at", "__run")
+    return out.select("y", "x", F.floor(F.sqrt(sum((F.col(n) * F.col(n) for n in lines), F.lit(0)))).cast("int").alias("room"))
+
+
 def eroded(cells: DataFrame, rounds: int) -> DataFrame:
     """What is left after ``rounds`` of taking away the cells without all eight neighbours."""
     for _ in range(rounds):

@@ -66,6 +66,21 @@ def map_border(f: Fixture) -> DataFrame:
     return focal.border(f.present)
 
 
+_RUNS = ", ".join(f"{pos}-ROW_NUMBER() OVER (PARTITION BY {line} ORDER BY {pos}) AS r{i}" for i, (line, pos) in enumerate((("y", "x"), ("x", "y"), ("y-x", "x"), ("y+x", "x"))))
+_ROOM = "+".join(f"power(least({pos}-MIN({pos}) OVER (PARTITION BY {line}, r{i}), MAX({pos}) OVER (PARTITION BY {line}, r{i})-{pos})+1, 2)" for i, (line, pos) in enumerate((("y", "x"), ("x", "y"), ("y-x", "x"), ("y+x", "x"))))
+
+
+@query("present", f", runs AS (SELECT y, x, {_RUNS} FROM present) SELECT y, x, CAST(FLOOR(sqrt({_ROOM})) AS INT) AS room FROM runs")
+def clearance_map(f: Fixture) -> DataFrame:
+    return focal.clearance(f.present)
+
+
+@query()
+def resampled_features(f: Fixture) -> DataFrame:
+    """Five features without replacement; which, is by a hash that SQL engines don't share."""
+    return t.subsampled(f.features, 5, 3).select("feature", "name", "weight")
+
+
 @query("ranked occ", """, rounds AS (SELECT CAST(CEIL(step*100/n) AS BIGINT) AS round, MAX(s) AS threshold FROM ranked JOIN (SELECT y, x, SUM(value) AS s FROM occ GROUP BY y, x) v ON v.y=ranked.y AND v.x=ranked.x CROSS JOIN (SELECT COUNT(*) AS n FROM ranked) k GROUP BY 1),
 numbered AS (SELECT round, threshold, ROW_NUMBER() OVER (ORDER BY round) AS i FROM rounds),
 walk AS (SELECT i, round, threshold AS average FROM numbered WHERE i=1 UNION ALL SELECT n.i, n.round, w.average*0.95+n.threshold*(1-0.95) FROM walk w JOIN numbered n ON n.i=w.i+1)

@@ -235,3 +235,45 @@ def test_results_do_not_depend_on_partitions(spark):
 
 def t_cells(occ):
     return occ.select("y", "x").distinct()
+
+
+def test_cut_cells_like_flood_fill():
+    random = np.random.default_rng(8)
+    for _ in range(30):
+        grid = np.zeros((9, 10), bool)
+        grid[1:-1, 1:-1] = random.random((7, 8)) < 0.7
+        amount = random.random((9, 10))
+        left = set(map(tuple, np.argwhere(grid)))
+        while left:
+            patch, queue = [], [left.pop()]
+            while queue:
+                c = queue.pop()
+                patch.append(c)
+                for n in ((c[0] + dy, c[1] + dx) for dy, dx in focal.NEAR4):
+                    if n in left:
+                        left.discard(n)
+                        queue.append(n)
+            y, x = np.array(patch).T
+            got = corridors.cut_cells(y, x, amount[y, x])
+            own = np.zeros_like(grid)
+            own[y, x] = True
+            for i, (a, b) in enumerate(patch):
+                own[a, b] = False
+                parts = sorted(total for _, total in corridors.split_parts(own, a, b, amount))
+                own[a, b] = True
+                assert np.allclose(sorted(got.get(i, parts)), parts) and (i in got) == (len(parts) > 1)
+
+
+def test_paths_within_reach():
+    present = np.zeros((9, 9), bool)
+    present[1, 1:8] = present[1:8, 7] = present[7, 1:8] = True
+    present[3, 1] = True
+    assert corridors.joined_nearby(present, (1, 1), (7, 1), 6) and not corridors.joined_nearby(present, (1, 1), (7, 1), 5)
+    assert not corridors.joined_nearby(present, (1, 1), (3, 1), 8) and corridors.joined_nearby(present, (1, 3), (1, 5), 2)
+
+
+def test_resampled_features(spark):
+    features = spark.range(40).select(F.col("id").cast("int").alias("feature"))
+    drawn = [sorted(r.feature for r in t.subsampled(features, 10, seed).collect()) for seed in (1, 1, 2)]
+    assert drawn[0] == drawn[1] != drawn[2] and all(len(set(d)) == 10 for d in drawn)
+    assert t.subsampled(features, 99, 1).count() == 40
