@@ -8,7 +8,8 @@
 
 All but the last return the columns of ``documents``.  Documents without words are neither toxic by themselves nor
 duplicates; they stay.  A null doc_id is kept by the filters that work by identifier.  Rows that share a doc_id
-share its fate; of rows equal in every column the near-duplicate stage keeps one.
+share its fate; of rows equal in every column the near-duplicate stage keeps one.  Very long texts are scored, cut, compared,
+searched and packed whole.  Other columns pass through, whatever their names.  An empty table stays empty at every stage.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 A line's set is its distinct words (lower case, cut at white space).  A line is removed where an earlier line, by
 (doc_id, line number), has a Jaccard similarity of 0.75 or more; the first of a group of like lines stays.
 
-Words are ordered by rarity: words are hashed to ``BUCKETS`` buckets, whose counts over all lines are exact, and
+Words are ordered by rarity: words are hashed to ``BUCKETS`` buckets, whose counts over all texts are exact, and
 a word's place is its bucket's rank and then its hash.  That is one order for all lines, which is all the filters
 need.  Lines with equal sets collapse to a class first.  Then
 
@@ -12,170 +12,241 @@ need.  Lines with equal sets collapse to a class first.  Then
 * positional: with a shared word at places i and j, the overlap is at most min(i, j) + min(n - i, m - j),
 * length: 4 n >= 3 m, and a bitmap: two parity bitmaps can't differ in more bits than the sets in words
 
-are conditions of one join on the word, made in ``PASSES`` parts by the word so that only a part of the prefixes is
-shuffled at a time; what passes is verified on the sets.  Thousands of variants of a line would make
-all their pairs pass, so before that a linear pass tries each class against the earliest class that shares
-the least or the greatest of the hashes with it; only lines that this doesn't remove probe the join.
+are conditions of one join on the word and the size's band (a factor of 4/3; the shorter line goes to its own and the
+next), made in ``PASSES`` parts so that only a part of the prefixes is shuffled at a time; what passes is verified on
+the sets, first with each line's most alike partner, then, where that isn't enough, with its others.  Thousands of
+variants of a line would make all their pairs pass, so before that a linear pass tries each class against the earliest class that shares
+the least or the greatest hash of the prefix with it, in two orders.  A class that this removes needs no partner any more: in the join
+it is only tried as the earlier line of a class that is still there, never against another removed one.
 
 Defined results: lines without words are never removed.  Null and empty texts stay as they are, with 0 and 0.
-Rows with a null doc_id come after all others.  Rows with one doc_id count as one document: a line
-stays or goes by its line number.  An empty table gives no rows.
+Rows with a null doc_id are documents of their own and come after all others.  Rows that share a doc_id, or have none,
+come in the order of a hash of their text; rows that share both are one document.  Very long texts and lines are
+treated as any other.  An empty table gives no rows.  Other columns of ``docs`` stay as they are, whatever their names
+(but n_lines and n_removed, which are written, and names that begin with two underscores).
+Words are compared by 63 bits of their hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 
-BUCKETS, PASSES = 1 << 14, 4
-#: A broadcast list of documents is at most so long; beyond it the join is shuffled.
-MOST_BROADCAST = 300_000
+BUCKETS, PASSES = 1 << 16, 4
 _LAST = 2**63 - 1
-WHITE = r"[\x20\x09-\x0D]+"
+#: Identifies a line, in the order of lines.
+_PLACE = ["doc", "text_hash", "line"]
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), WHITE)), "")
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc, text_hash and text of each row."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(_text()).alias("text_hash"), _text().alias("text"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
+def _plain(text: Column) -> Column:
+    """In lower case, with blanks for all white space but the ends of lines."""
+    odd = F.lit(False)
+    for sign in "\t\r\x0b\x0c":
+        odd |= F.contains(text, F.lit(sign))
+    return F.lower(F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text))
 
 
 def _ranks(docs: DataFrame) -> Column:
     """A literal array: the rank of each bucket of words by its count; as long as BUCKETS, whatever the corpus."""
-    words = _keyed(docs).select(F.explode(_lines(F.col("text"))).alias("line")).select(F.explode(_words(F.col("line"))).alias("word"))
-    counts = dict(words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).count().collect())
-    order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
+    words = docs.select(F.explode(F.split(F.replace(_plain(_text()), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = dict(words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect())
     rank = [0] * BUCKETS
-    for i, b in enumerate(order):
-        rank[b] = i
+    for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
+        rank[b] = i >> 1  # 15 bits
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
 
 
 def _keys(line: Column, ranks: Column) -> Column:
-    """The line's words as numbers in the order of rarity: 14 bits of rank, 49 bits of hash."""
+    """The words of a ``_plain`` line as numbers in the order of rarity: 15 bits of rank, 48 bits of hash."""
 
     def key(hashed: Column) -> Column:
-        rank = F.get(ranks, F.pmod(hashed, F.lit(BUCKETS)).cast("int"))
-        return F.shiftleft(rank, 49).bitwiseOR(F.shiftrightunsigned(hashed, 15))
+        # never null: arrays without nulls are sorted as primitive numbers
+        rank = F.coalesce(F.get(ranks, hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(hashed, 16))
 
-    return F.sort_array(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), key))
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
 def _parity(keys: Column, half: int) -> Column:
-    """64 of 128 bits, each the parity of the words that fall on it."""
+    """64 bits, each the parity of the words that fall on it: of all words, or of a half of them."""
+    one = F.lit(1).cast("long")
 
     def step(held: Column, k: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 1).bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(k.bitwiseAND(F.lit(1)) == half, held.bitwiseXOR(bit)).otherwise(held)
+        mine = F.shiftrightunsigned(k, 6).bitwiseAND(one) if half else one
+        return held.bitwiseXOR(F.call_function("shiftleft", mine, k.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate(keys, F.lit(0).cast("long"), step)
 
 
 def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
-    """A row for each different set: c (its hash), doc and line of its first line, n, prefix, bits, minima."""
-    lines = _keyed(docs).select("doc", F.posexplode(_lines(F.col("text"))).alias("line", "content"))
-    sets = lines.select("doc", "line", _keys(F.col("content"), ranks).alias("keys")).where(F.size("keys") > 0)
+    """A row for each different set: c (its hash), the place of its first line, n, prefix and bits."""
+    lines = _identified(docs).select("doc", "text_hash", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "content"))
+    sets = lines.select(*_PLACE, _keys(F.col("content"), ranks).alias("keys"))
     n = F.size("keys")
-    # the hashes without the ranks, of the rarer three quarters: common words would put unlike lines together
-    low = F.transform(F.slice("keys", 1, F.ceil(n * 0.75).cast("int")), lambda k: F.shiftleft(k, 15))
-    rows = sets.select(F.xxhash64("keys").alias("c"), F.hash("keys").alias("c2"), F.struct("doc", "line").alias("first"), n.alias("n"), F.slice("keys", 1, n - F.ceil(n * 3 / 4).cast("int") + 1).alias("prefix"), _parity(F.col("keys"), 0).alias("bits"), _parity(F.col("keys"), 1).alias("more"), low.alias("low"))
-    rows = rows.withColumn("minima", F.array(F.array_min("low"), F.array_max("low"))).drop("low")
-    return rows.groupBy("c", "c2").agg(F.min("first").alias("first"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "more", "minima"))).select("c", "c2", "first.doc", "first.line", "n", "prefix", "bits", "more", "minima")
+    prefix = F.slice("keys", 1, n - F.ceil(n * 3 / 4).cast("int") + 1)
+    rows = sets.select(F.xxhash64("keys").alias("c"), F.hash("keys").alias("c2"), F.struct(*_PLACE).alias("first"), n.alias("n"), prefix.alias("prefix"), _parity(F.col("keys"), 0).alias("bits"), _parity(F.col("keys"), 1).alias("more"))
+    rows = rows.groupBy("c", "c2").agg(F.min("first").alias("first"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "more")))
+    return rows.where("n > 0").select("c", "first.*", "n", "prefix", "bits", "more")
 
 
 def _earlier(a: str, b: str) -> Column:
     """Whether the line of ``a`` comes before that of ``b``."""
-    return (F.col(f"{a}doc") < F.col(f"{b}doc")) | ((F.col(f"{a}doc") == F.col(f"{b}doc")) & (F.col(f"{a}line") < F.col(f"{b}line")))
+    return F.struct(*(F.col(a + x) for x in _PLACE)) < F.struct(*(F.col(b + x) for x in _PLACE))
+
+
+def _differ(a: str, b: str) -> Column:
+    """Bits that two lines' 128 parities differ in: those of one half of the words, and of the others."""
+    own, other = F.col(f"{a}more").bitwiseXOR(F.col(f"{b}more")), F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))
+    return F.bit_count(own) + F.bit_count(own.bitwiseXOR(other))
 
 
 def _may_link(a: str, b: str) -> Column:
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) + F.bit_count(F.col(f"{a}more").bitwiseXOR(F.col(f"{b}more")))
-    return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (differ * 7 <= n + m)
+    return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (_differ(a, b) * 7 <= n + m)
 
 
 def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(prefix + c) for c in rows.columns))
 
 
-def _matched(pairs: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
-    """Those later lines (x_doc, x_line) of ``pairs(x_doc, x_line, y_doc, y_line)`` whose sets link."""
-    pairs = scratch.materialize(pairs, "linepairs")
-    scratch.release(docs.sparkSession)
-    wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
-    wanted = scratch.materialize(wanted.groupBy("doc").agg(F.collect_list("line").alias("wanted")), "wanted")
-    few = wanted.count() <= MOST_BROADCAST
-    texts = _keyed(docs).join(F.broadcast(wanted) if few else wanted, "doc")
-    lines = texts.select("doc", F.explode("wanted").alias("line"), _lines(F.col("text")).alias("lines"))
-    sets = scratch.materialize(lines.select("doc", "line", _keys(F.get("lines", F.col("line")), ranks).alias("keys")), "linesets")
-    both = pairs.join(_prefixed(sets, "x_"), ["x_doc", "x_line"]).join(_prefixed(sets, "y_"), ["y_doc", "y_line"])
+_SIDES = {side: [f"{side}_{c}" for c in _PLACE] for side in "xy"}
+
+
+def _sets(pairs: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
+    """The sets of all lines of ``pairs``.  The texts are shuffled to the lines asked for."""
+    ends = [pairs.select(*(F.col(c).alias(k) for c, k in zip(side, _PLACE, strict=True))) for side in _SIDES.values()]
+    asked = ends[0].union(ends[1]).distinct().groupBy("doc", "text_hash").agg(F.collect_list("line").alias("asked"))
+    # rows that share doc_id and text are one document
+    lines = asked.join(_identified(docs), ["doc", "text_hash"]).select("doc", "text_hash", F.explode("asked").alias("line"), F.split("text", "\n").alias("lines"))
+    sets = lines.select(*_PLACE, F.get("lines", F.col("line")).alias("content")).select(*_PLACE, _keys(_plain(F.col("content")), ranks).alias("keys"))
+    return scratch.materialize(sets.dropDuplicates(_PLACE), "linesets")
+
+
+def _matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those later lines (their places) of ``pairs(x_..., y_...)`` whose sets link."""
+    both = pairs.join(_prefixed(sets, "x_"), _SIDES["x"]).join(_prefixed(sets, "y_"), _SIDES["y"])
     shared = F.size(F.array_intersect("x_keys", "y_keys"))
     linked = both.where(shared * 4 >= (F.size("x_keys") + F.size("y_keys") - shared) * 3)
-    out = scratch.materialize(linked.select("x_doc", "x_line").distinct(), "matched")
-    del both, linked, lines, texts
-    scratch.release(docs.sparkSession)
-    return out
+    return scratch.materialize(linked.select(*(F.col(c).alias(k) for c, k in zip(_SIDES["x"], _PLACE, strict=True))).distinct(), "matched")
 
 
-def removed_firsts(classes: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
-    """doc and line of those first lines of classes that have an earlier match of another class."""
-    slim = classes.select("doc", "line", "n", "bits", "more")
-    # against the earliest class with the same minimum
-    marked = classes.select("doc", "line", "n", "bits", "more", F.explode("minima").alias("mark")).where(F.col("mark").isNotNull())
-    earliest = marked.groupBy("mark").agg(F.min(F.struct("doc", "line", "n", "bits", "more")).alias("e")).select("mark", *(F.col(f"e.{c}").alias(f"y_{c}") for c in slim.columns))
+def _stars(classes: DataFrame) -> DataFrame:
+    """Each class with the earliest class of the same mark, where the two may link."""
+    # two orders of the words that have nothing to do with the ranks
+    shifted = lambda by: F.transform("prefix", lambda k: F.shiftleft(k, by))
+    orders = [shifted(15), shifted(31)]
+    marks = F.array_distinct(F.array(*(end(order) for order in orders for end in (F.array_min, F.array_max))))
+    marked = classes.select(*_PLACE, "n", "bits", "more", marks.alias("marks")).select(*_PLACE, "n", "bits", "more", F.explode("marks").alias("mark"))
+    earliest = marked.groupBy("mark").agg(F.min(F.struct(*_PLACE, "n", "bits", "more")).alias("e")).select("mark", *(F.col(f"e.{c}").alias(f"y_{c}") for c in (*_PLACE, "n", "bits", "more")))
     stars = _prefixed(marked, "x_").join(earliest, F.col("x_mark") == F.col("mark")).where(_earlier("y_", "x_") & _may_link("x_", "y_"))
-    # pairs are few, so what was shuffled for them can go
-    first = _matched(stars.select("x_doc", "x_line", "y_doc", "y_line").distinct(), docs, ranks)
-    gone = _renamed(first)
-    # the rest against every earlier class
-    alive = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left").withColumn("alive", F.col("gone").isNull())
-    alive = scratch.materialize(alive, "alive")
-    rows = alive.select("doc", "line", "n", "bits", "more", "alive", F.posexplode("prefix").alias("place", "word"))
-    rows = rows.select("word", "doc", "line", "n", "bits", "more", "alive", (F.col("place") + 1).alias("place"))
+    return stars.select(*(f"{side}_{c}" for side in "xy" for c in _PLACE)).distinct()
+
+
+def _banded(classes: DataFrame, *bands: int) -> DataFrame:
+    """A row for each word of the prefix and each of the size's bands, counted from its own."""
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)))
+    rows = classes.select("c", "n", "bits", "more", F.posexplode("prefix").alias("place", "word"))
+    rows = rows.select("word", "c", "n", (F.col("place") + 1).alias("place"), "bits", "more", F.explode(F.array(*(band + b for b in bands))).alias("band"))
+    return rows.select(F.xxhash64("word", "band").alias("key"), "c", "n", "place", "bits", "more")
+
+
+def _near(here: DataFrame, gone: DataFrame, turn: int) -> DataFrame:
+    """Pairs of classes (a, b), of which at least one is ``here``, that pass the filters on a shared word; how much they
+    differ."""
+    part = lambda rows: rows.where(F.pmod("key", F.lit(PASSES)) == turn)
     n, m, i, j = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place"))
-    short = lambda size, place: place <= size - F.ceil(size * 6 / 7) + 1
-    indexed = F.when(n < m, short(n, i)).when(n > m, short(m, j)).otherwise(short(n, i) | short(m, j))
+    in_index = lambda size, place: place <= size - F.ceil(size * 6 / 7) + 1
     positional = (F.least(i, j) + F.least(n - i, m - j)) * 7 >= (n + m) * 3
-    pairs = None
+    same = (F.col("x_key") == F.col("y_key")) & _may_link("x_", "y_") & positional
+    x = _prefixed(part(_banded(here, 0)), "x_")
+    larger = (n > m) | ((n == m) & (F.col("x_c") > F.col("y_c")))
+    # the index side holds the shorter lines
+    among = x.join(_prefixed(part(_banded(here, 0, 1).where(in_index(F.col("n"), F.col("place")))), "y_"), same & larger)
+    across = x.join(_prefixed(part(_banded(gone, -1, 0, 1)), "y_"), same & F.when(n < m, in_index(n, i)).otherwise(in_index(m, j)))
+    found = (F.col("x_c").alias("a"), F.col("y_c").alias("b"), (_differ("x_", "y_") / (n + m)).alias("differ"))
+    return among.select(*found).union(across.select(*found)).distinct()
+
+
+def removed_firsts(classes: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
+    """The places of those first lines of classes that have an earlier match of another class; ``classes`` is a written table,
+    which goes."""
+    spark = docs.sparkSession
+    stars = scratch.materialize(_stars(classes), "stars")
+    scratch.release(spark)
+    sets = _sets(stars, docs, ranks)
+    first = _matched(stars, sets)
+    scratch.discard(stars, sets)
+    marked = classes.join(first.withColumn("gone", F.lit(True)), _PLACE, "left").withColumn("alive", F.col("gone").isNull())
+    marked = scratch.materialize(marked.select("c", *_PLACE, "n", "bits", "more", "prefix", "alive"), "marked")
+    scratch.discard(classes)
+    here, gone = marked.where("alive"), marked.where("NOT alive")
+    pairs = []
     for turn in range(PASSES):
-        part = rows.where(F.pmod("word", F.lit(PASSES)) == turn)
-        x, y = _prefixed(part, "x_"), _prefixed(part, "y_")
-        near = x.join(y, (F.col("x_word") == F.col("y_word")) & F.col("x_alive") & _earlier("y_", "x_") & _may_link("x_", "y_") & positional & indexed)
-        found = scratch.materialize(near.select("x_doc", "x_line", "y_doc", "y_line").distinct(), "near")
-        pairs = found if pairs is None else pairs.union(found)
-        del near, x, y, part
-        scratch.release(docs.sparkSession)
-    return gone.union(_renamed(_matched(pairs.distinct(), docs, ranks)))
+        scratch.release(spark)
+        pairs.append(scratch.materialize(_near(here, gone, turn), "near"))
+    ends = [_prefixed(marked.select("c", *_PLACE, "alive"), f"{side}_") for side in "ab"]
+    known = reduce(DataFrame.union, pairs).distinct().join(ends[0], F.col("a") == F.col("a_c")).join(ends[1], F.col("b") == F.col("b_c"))
+    turned = _earlier("a_", "b_")
+    known = known.select("differ", *(F.when(turned, F.col(f"{late}_{c}")).otherwise(F.col(f"{early}_{c}")).alias(f"{side}_{c}") for side, late, early in (("x", "b", "a"), ("y", "a", "b")) for c in (*_PLACE, "alive")))
+    known = scratch.materialize(known.where("x_alive").drop("x_alive", "y_alive"), "linepairs")
+    scratch.discard(marked, *pairs)
+    scratch.release(spark)
+    sets = _sets(known, docs, ranks)
+    best = known.groupBy(*_SIDES["x"]).agg(F.min(F.struct("differ", *_SIDES["y"])).alias("y")).select(*_SIDES["x"], *(f"y.{c}" for c in _SIDES["y"]))
+    second = _matched(best, sets)
+    scratch.release(spark)
+    rest = known.join(_prefixed(second, "x_"), _SIDES["x"], "left_anti").join(best, [*_SIDES["x"], *_SIDES["y"]], "left_anti")
+    third = _matched(rest.drop("differ"), sets)
+    scratch.discard(known, sets)
+    return first.union(second).union(third)
 
 
-def _renamed(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))
+def _kept(places: DataFrame, removed: DataFrame) -> DataFrame:
+    """doc, text_hash and a bit for each line that stays, in numbers of 64 lines."""
+    stay = places.join(removed, _PLACE, "left_anti").withColumn("block", F.col("line").bitwiseAND(F.lit(~63)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line").bitwiseAND(F.lit(63)))
+    blocks = stay.groupBy("doc", "text_hash", "block").agg(F.bit_or(bit).alias("bits"))
+    held = blocks.groupBy("doc", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("held"), F.max("block").alias("most"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("most"), F.lit(64)), lambda b: F.coalesce(F.try_element_at("held", b), F.lit(0).cast("long")))
+    return held.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), dense.alias("__kept"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with n_lines, n_removed, and text without the removed lines."""
-    spark = docs.sparkSession
+    spark, text = docs.sparkSession, _text()
     ranks = _ranks(docs)
     classes = scratch.materialize(_classes(docs, ranks), "lineclasses")
     scratch.release(spark)
-    removed = removed_firsts(classes, docs, ranks)
-    kept = classes.select("doc", "line").join(removed, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_set("line").alias("__kept"))
-    kept = scratch.materialize(kept, "keptlines")
+    places = scratch.materialize(classes.select(*_PLACE), "lineplaces")
+    kept = scratch.materialize(_kept(places, removed_firsts(classes, docs, ranks)), "keptlines")
+    scratch.discard(places)
     scratch.release(spark)
-    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(kept.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    lines = rows.withColumn("__lines", F.when(F.coalesce("text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(_lines(F.col("text"))))
-    stays = lambda line, i: ~line.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.array_contains("__kept", i), F.lit(False))
+    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__hash", F.xxhash64(text))
+    rows = rows.join(kept, ["__doc", "__hash"], "left")
+    lines = rows.withColumn("__lines", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")))
+
+    def stays(line: Column, i: Column) -> Column:
+        held = F.coalesce(F.get("__kept", F.shiftright(i, 6)), F.lit(0).cast("long"))
+        bit = F.call_function("shiftrightunsigned", held, i.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long"))
+        return (bit == 1) | ~line.rlike(r"[^\x20\x09-\x0D]")
+
     lines = lines.withColumn("__left", F.filter("__lines", stays))
     cut = lines.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_removed", (F.size("__lines") - F.size("__left")).cast("long"))
-    return cut.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join("__left", "\n")).otherwise(F.col("text"))).drop("__doc", "__kept", "__lines", "__left")
+    return cut.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join("__left", "\n")).otherwise(F.col("text"))).drop("__doc", "__hash", "__kept", "__lines", "__left")
 
 
 SQL = r"""
