@@ -6,12 +6,18 @@ sizes.
 
 Sizes fall into bands ``[l, 4l/3]``, so linked sets lie in one band or in two neighbours; each set gets the
 signatures of its own band and of the next.  A band whose sizes reach r has the Hamming bound k = 2r / 7.
-The domain of shingles is split, by hash, into n1 > k partitions, and the subset of a set in each partition is
-one signature: as at most k partitions can hold a difference, linked sets share at least n1 - k of them.  (This is
-the enumeration with one partition of the second level, which has the fewest signatures.)  Partitions in which
-a set has nothing make no signature: n1 is over k by ``SPARE``, so that a set with fewer than n1 - k empty
-partitions always shares a filled one with whatever links with it; the rare sets with more emit their
-empty ones too, which covers links between two such sets.
+The domain of shingles is split, by hash, into n1 partitions and each of these into n2 parts.  At most
+K = k / (k2 + 1) partitions can hold more than k2 differences; in each of the others at least n2 - k2 parts are the
+same.  So for each partition, every subset of n2 - k2 of its parts is enumerated, and what a set has in it is one
+signature: linked sets share at least n1 - K of them.
+
+n2 and k2 are chosen for each band by cost: the number of signatures, and the candidates that they make, estimated from
+how many shingles a signature holds (``shape``).  Enumeration (k2 > 0) pays in the bands of short texts; for longer ones
+single partitions (n2 = 1, k2 = 0) make so much fewer signatures that they are the cheapest.
+
+A subset in which a set has nothing makes no signature: n1 is over K by ``SPARE``, so that a set of which fewer than
+n1 - K partitions are thin (shingles in at most k2 parts) always shares a filled one with whatever links with it; the
+rare sets with more emit their empty ones too, which covers links between two such sets.
 
 Signatures travel as packed numbers, a few rows for each batch of documents and bucket.  In a bucket, each group
 with the same signature links its first member with the others: as many candidates as members, never all pairs.
@@ -23,13 +29,17 @@ Equal sets collapse before all this: a task emits a set once.
 
 Defined results: null or empty texts and texts without words have n_shingles 0 and link with nothing.  Fewer
 than five words are one shingle.  Rows with a null doc_id link with nothing and have a null component_id.  Rows
-that share a doc_id are one node: what either links with is linked.  Repeated rows stay.  An empty table gives no
-rows.  Shingles are compared by 64-bit hashes.
+that share a doc_id are one node: what either links with is linked.  Repeated rows stay.  Very long texts are one set as
+any other.  Other columns of the table aren't read.  An empty table gives no rows.  Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +50,8 @@ from . import scratch
 from .bytesops import LOWER, _U, mix, range_hashes, slices, text_bytes, words
 from .components import components
 
-WORDS, SPARE, FEW = 5, 0.5, 6
-#: A broadcast table of routes has at most so many; beyond it the join is shuffled.
+WORDS, SPARE, WEIGHT, RARE, FEW = 5, 0.5, 4.0, 20.0, 6
+#: A broadcast table of routes has at most so many, some 24 bytes each; beyond it the texts are shuffled to them.
 MOST_BROADCAST = 400_000
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | _U(1)
 
@@ -57,10 +67,55 @@ def bands(largest: int = 1 << 40) -> np.ndarray:
 _LOWS = bands()
 
 
-def shape(band: int) -> tuple[int, int]:
-    """The Hamming bound k and the number of partitions n1 of a band."""
-    k = 2 * (int(_LOWS[band + 1]) - 1) // 7
-    return k, k + 1 + int(np.ceil(SPARE * k))
+@dataclass(frozen=True)
+class Shape:
+    """How a band is enumerated: at most ``bad`` of the ``n1`` partitions differ in more than ``k2`` of their ``n2`` parts."""
+
+    bad: int
+    n1: int
+    n2: int
+    k2: int
+    #: A row for each subset of parts.
+    subsets: np.ndarray
+
+    @property
+    def cost(self) -> int:
+        return self.n1 * len(self.subsets)
+
+
+def _thin(n1: int, n2: int, k2: int, size: float) -> float:
+    """The chance that a partition of a set of ``size`` has shingles in at most k2 of its n2 parts."""
+    p = 1 - math.exp(-size / (n1 * n2))
+    return sum(math.comb(n2, i) * p**i * (1 - p) ** (n2 - i) for i in range(k2 + 1))
+
+
+@lru_cache(None)
+def shape(band: int) -> Shape:
+    """The cheapest enumeration for a band.
+
+    Three things cost: signatures; candidates, as a text of another topic that has half of a set's shingles shares a
+    signature of e shingles with a chance of 2 ** -e (``WEIGHT`` times a signature); and rare sets, whose empty signatures
+    put unlike sets together (``RARE`` times).  A form that leaves less than a fifth of K as slack isn't taken.
+    """
+    least, largest = int(_LOWS[max(0, band - 1)]), int(_LOWS[band + 1]) - 1
+    k = 2 * largest // 7
+    best = None
+    for k2 in range(min(k, 3) + 1):
+        for n2 in [1] if k2 == 0 else range(k2 + 1, k2 + 4):
+            bad = k // (k2 + 1)
+            n1 = bad + 1 + math.ceil(SPARE * bad)
+            thin = _thin(n1, n2, k2, least)
+            slack = n1 * (1 - _thin(n1, n2, k2, int(_LOWS[band]))) - bad
+            if k2 and slack < 0.2 * bad:
+                continue
+            # thin partitions are about normal in number
+            spread = math.sqrt(max(n1 * thin * (1 - thin), 1e-9))
+            rare = 0.5 * math.erfc((n1 - bad - 0.5 - n1 * thin) / spread / math.sqrt(2))
+            subsets = np.array([[i in kept for i in range(n2)] for kept in combinations(range(n2), n2 - k2)], bool)
+            cost = n1 * len(subsets) * (1 + WEIGHT * 0.5 ** (largest / n1 * (n2 - k2) / n2) + RARE * rare)
+            if best is None or cost < best[0]:
+                best = cost, Shape(bad, n1, n2, k2, subsets)
+    return best[1]
 
 
 def shingles(texts: pa.Array, width: int = WORDS) -> list[np.ndarray]:
@@ -98,34 +153,56 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _cells(s: np.ndarray, at: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The filled parts, numbered over all partitions, where each one's shingles start in the order given last."""
+    partition = ((s >> _U(32)) * _U(at.n1)) >> _U(32)
+    cell = partition * _U(at.n2) + (((s & _U(0xFFFFFFFF)) * _U(at.n2)) >> _U(32))
+    order = np.argsort(cell, kind="stable") if at.n2 > 1 else np.arange(len(s))  # the hashes are sorted
+    cell = cell[order]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    return cell[first].astype(np.int64), first, order
+
+
+def _own_band(s: np.ndarray) -> int:
+    return int(np.searchsorted(_LOWS, len(s), side="right")) - 1
+
+
+def _sound(cells: np.ndarray, at: Shape) -> int:
+    """Partitions that aren't thin."""
+    return int((np.bincount(cells // at.n2, minlength=at.n1) > at.k2).sum())
+
+
 def slack(s: np.ndarray) -> tuple[int, int]:
-    """By the band's parity, filled partitions over k: how many signatures a set may lose and still share one with
-    whatever links with it."""
-    own = int(np.searchsorted(_LOWS, len(s), side="right")) - 1
+    """By the band's parity, partitions that aren't thin, over K: how many signatures a set may lose and still share one
+    with whatever links with it."""
     out = [0, 0]
-    for band in (own, own + 1):
-        k, n1 = shape(band)
-        out[band & 1] = len(np.unique(((s >> _U(32)) * _U(n1)) >> _U(32))) - k
+    for band in (_own_band(s), _own_band(s) + 1):
+        at = shape(band)
+        out[band & 1] = _sound(_cells(s, at)[0], at) - at.bad
     return out[0], out[1]
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
     """The signatures of a set, for its band and the next; the lowest bit is the band's parity."""
-    own = int(np.searchsorted(_LOWS, len(s), side="right")) - 1
-    parts, done = [], 0
-    for band in (own, own + 1):
-        k, n1 = shape(band)
-        # the hashes are sorted, so partitions by their high bits are runs
-        partition = ((s >> _U(32)) * _U(n1)) >> _U(32)
-        first = np.flatnonzero(np.concatenate([[True], partition[1:] != partition[:-1]]))
-        sums = np.add.reduceat(mix(s ^ _U(band + 1)), first)
-        filled = partition[first]
-        parts.append(mix(sums + (filled + _U(1)) * _U(0x9E3779B97F4A7C15)))
-        if n1 - len(filled) >= n1 - k:
-            empty = np.setdiff1d(np.arange(n1, dtype=np.uint64), filled)
-            parts.append(mix(mix(empty + _U(1)) * _U(2 * band + 3)))
-        parts[done:] = [x & ~_U(1) | _U(band & 1) for x in parts[done:]]
-        done = len(parts)
+    parts = []
+    for band in (_own_band(s), _own_band(s) + 1):
+        at = shape(band)
+        cells, first, order = _cells(s, at)
+        held = np.add.reduceat(mix(s ^ _U(band + 1))[order], first)
+        if at.n2 == 1:
+            places, sums = cells, held
+        else:
+            table = np.zeros((at.n1, at.n2), np.uint64)
+            table.reshape(-1)[cells] = held
+            filled = np.zeros((at.n1, at.n2), bool)
+            filled.reshape(-1)[cells] = True
+            places = np.flatnonzero(np.stack([filled[:, k].any(1) for k in at.subsets], 1))
+            sums = np.stack([table[:, k].sum(1, dtype=np.uint64) for k in at.subsets], 1).reshape(-1)[places]
+        found = [mix(sums + (places.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))]
+        if at.n1 - _sound(cells, at) >= at.n1 - at.bad:
+            empty = np.setdiff1d(np.arange(at.cost), places).astype(np.uint64)
+            found.append(mix(mix(empty + _U(1)) * _U(2 * band + 3)))
+        parts += [x & ~_U(1) | _U(band & 1) for x in found]
     return np.concatenate(parts)
 
 
@@ -233,19 +310,12 @@ def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.where(_near("x_", "y_")).select("a", "b").distinct()
 
 
-#: Bytes of a shingle hash that travel for verifying: two different shingles of a pair of sets share them
-#: with a probability of about 1e-9.
-_KEPT = 6
-
-
 def _packed_set(s: np.ndarray) -> bytes:
-    return np.frombuffer(s.astype(">u8").tobytes(), np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
+    return s.astype("<u8").tobytes()
 
 
 def _unpacked_set(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // _KEPT, 8), np.uint8)
-    wide[:, 8 - _KEPT :] = np.frombuffer(data, np.uint8).reshape(-1, _KEPT)
-    return wide.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(data, np.uint64)
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -276,8 +346,8 @@ def _may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
 def verify(pairs: DataFrame, docs: DataFrame, parity: bool = False) -> DataFrame:
     """Those ``pairs(a, b)`` whose sets link; with ``parity``, those that long parity sketches don't rule out.
 
-    Each document gets its routes: to (a, salt) as ``a`` itself or as a partner.  Sets are made from the text and
-    shuffled to their routes; a task holds one set at a time and compares partners as they come.  A busy ``a`` is
+    Each document gets its routes: to (a, salt) as ``a`` itself or as a partner.
+    Sets are made from the text and shuffled to their routes; a task holds one set at a time and compares partners as they come.  A busy ``a`` is
     salted, 500 partners each.
     """
     spark = docs.sparkSession
