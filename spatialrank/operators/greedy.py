@@ -23,6 +23,14 @@ from .rules import boundary_term, buffer_quality_loss, deltas, local_quality_los
 REMOVALS = "y int, x int, round int, place int"
 #: The most removals of a round that are broadcast; a larger round is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Values (cells times features) of a batch's cheapest cells, which one task holds.
+BATCH = 1 << 20
+
+
+def _cheapest(found: DataFrame, cells: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    near = counted(cells, NEAR8, "nb8")
+    chosen = found.join(near, ["y", "x"]).withColumn("delta", F.round("delta", digits)).orderBy("delta", "nb8", "y", "x").limit(k)
+    return chosen.withColumn("place", F.row_number().over(Window.orderBy("delta", "nb8", "y", "x"))).select("y", "x", "delta", "place", "nb8")
 
 
 def block(found: DataFrame, cells: DataFrame, k: int, digits: int = 9) -> DataFrame:
@@ -30,9 +38,7 @@ def block(found: DataFrame, cells: DataFrame, k: int, digits: int = 9) -> DataFr
 
     Top-k is kept by each task before the merge.
     """
-    near = counted(cells, NEAR8, "nb8")
-    chosen = found.join(near, ["y", "x"]).withColumn("delta", F.round("delta", digits)).orderBy("delta", "nb8", "y", "x").limit(k)
-    return chosen.withColumn("place", F.row_number().over(Window.orderBy("delta", "nb8", "y", "x"))).select("y", "x", "delta", "place")
+    return _cheapest(found, cells, k, digits).drop("nb8")
 
 
 def initial_removal(cells: DataFrame, value: str, percent: float) -> DataFrame:
@@ -84,18 +90,48 @@ def round_deltas(left: DataFrame, cells: DataFrame, before: DataFrame, features:
     return found
 
 
-def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, cost: DataFrame | None = None, levels: DataFrame | None = None, edge_only: bool = False, seed: int = 0, whole_blocks: bool = False, every: int = 4, also: Penalties = Penalties()) -> DataFrame:
+def _only_rise(occ: DataFrame, features: DataFrame, rule: str, cost: DataFrame | None) -> bool:
+    """Whether no delta ever falls as other cells go: shares of what is left of wanted features, slopes of concave benefits,
+    fixed numbers."""
+    if rule not in ("caz", "abf", "random"):
+        return False
+    odd = [features.where("weight < 0 OR weight IS NULL OR isnan(weight)" + (" OR sr_par IS NULL OR NOT sr_par BETWEEN 0 AND 1" if rule == "abf" else ""))]
+    odd += [occ.where("value IS NULL OR value < 0 OR isnan(value)")] + ([cost.where("cost IS NULL OR NOT cost > 0")] if cost is not None else [])
+    return all(rows.isEmpty() for rows in odd)
+
+
+def _batch(left: DataFrame, pool: DataFrame, features: DataFrame, rule: str, warp: int, whole_blocks: bool, candidates: int, turn: int, cost: DataFrame | None, seed: int) -> DataFrame:
+    """The removals of the rounds from ``turn`` on that are settled by ``pool``, the written rows of ``_cheapest`` for the P
+    cheapest of ``candidates`` cells."""
+    size, bound = pool.agg(F.count("*"), F.max("delta")).first()
+    others = left.join(F.broadcast(pool.select("y", "x")), ["y", "x"], "left_anti").groupBy("feature").agg(F.sum("value").alias("r"))
+    held = {r.feature: r.r for r in others.collect()}
+    outside = candidates - size
+    rows = _rows(left.join(F.broadcast(pool.select("y", "x", "nb8")), ["y", "x"]), features, rule, None, cost, seed)
+
+    def played(frame: pd.DataFrame) -> pd.DataFrame:
+        found = _kernel(frame, rule, warp, whole_blocks, True, False, held, outside, bound)
+        return found.assign(round=found["round"] + turn - 1)
+
+    return rows.groupBy("whole").applyInPandas(played, REMOVALS)
+
+
+def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, cost: DataFrame | None = None, levels: DataFrame | None = None, edge_only: bool = False, seed: int = 0, whole_blocks: bool = False, every: int = 4, also: Penalties = Penalties(), batch: int = BATCH) -> DataFrame:
     """y, x, round, place for every cell, removed in rounds of k = max(1, min(warp, candidates // 100)).
 
     ``whole_blocks`` takes k = warp as it is.  With ``levels`` (y, x, mask_level) the lowest level goes first.  Every few
     rounds the remaining table is checkpointed to the shared folder.  ``also`` are penalties and weights of each round.
+    Where deltas only rise and a round is under a quarter of ``batch`` values, rounds go in batches; 0 is without any.
     """
     also.check(rule)
     spark = occ.sparkSession
     left = cut(occ)
+    cost, levels = (cut(df) if df is not None else None for df in (cost, levels))  # read in every round
     before = left.select("y", "x").distinct()
     n_features = features.count()
-    root, turn, n = shared(spark, "rounds"), 0, 0
+    root, turn, n, paths = shared(spark, "rounds"), 0, 0, []
+    most = batch // max(1, n_features)  # cells of a batch
+    batched = most > 0 and not edge_only and also == Penalties() and _only_rise(left, features, rule, cost)
     while True:
         cells = left.select("y", "x").distinct()
         candidates = edge(cells) if edge_only else cells
@@ -109,18 +145,28 @@ def rank(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1,
         turn += 1
         k = warp if whole_blocks else max(1, min(warp, n // 100))
         found = round_deltas(left, cells, before, features, rule, n_features, seed, cost, also)
+        found = found.join(candidates, ["y", "x"], "left_semi")
         path = f"{root}/{turn}"
-        block(found.join(candidates, ["y", "x"], "left_semi"), cells, k).select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(turn).alias("round"), F.col("place").cast("int").alias("place")).write.parquet(path)
+        together = batched and k * 4 <= most
+        if together:
+            _cheapest(found, cells, most).write.parquet(f"{path}-cheapest")
+            pool = spark.read.parquet(f"{path}-cheapest")
+            removals = _batch(left, pool, features, rule, warp, whole_blocks, n, turn, cost, seed)
+        else:
+            removals = block(found, cells, k).withColumn("round", F.lit(turn))
+        removals.select(*(F.col(c).cast("int").alias(c) for c in ("y", "x", "round", "place"))).write.parquet(path)
         chosen = spark.read.schema(REMOVALS).parquet(path)
-        if not (taken := chosen.count()):
+        taken, last = chosen.agg(F.count("*"), F.max("round")).first()
+        if not taken:
             raise ValueError("cells without a cost or weight are left")
-        n -= taken
+        paths.append(path)
+        n, turn = n - taken, last
         left = left.join(F.broadcast(chosen) if taken <= MOST_BROADCAST else chosen, ["y", "x"], "left_anti")
-        if turn % every == 0:
+        if together or len(paths) % every == 0:
             left = cut(left)
-    if not turn:
+    if not paths:
         return spark.createDataFrame([], REMOVALS)
-    return spark.read.schema(REMOVALS).parquet(*(f"{root}/{i}" for i in range(1, turn + 1)))
+    return spark.read.schema(REMOVALS).parquet(*paths)
 
 
 def rank_units(occ: DataFrame, plu: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, cost: DataFrame | None = None, every: int = 4) -> DataFrame:
@@ -168,8 +214,12 @@ def _beside(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(at[found] == wanted, found, -1)
 
 
-def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neighbours: bool, edge_only: bool) -> pd.DataFrame:
-    """The same loop over one small landscape in numpy; rows are cells in the order of y, x, dense in features."""
+def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neighbours: bool, edge_only: bool, held: dict[int, float] | None = None, outside: int = 0, bound: float = np.inf) -> pd.DataFrame:
+    """The same loop over one small landscape in numpy; rows are cells in the order of y, x, dense in features.
+
+    For a batch, ``held`` is what other cells hold of each feature and nb8 a cell's present neighbours; ``outside`` other
+    candidates have deltas of ``bound`` at least, and the loop ends before a round that they could enter.
+    """
     units = frame.drop_duplicates(["y", "x"]).sort_values(["y", "x"]).reset_index(drop=True)
     at = pd.Series(units.index, index=pd.MultiIndex.from_frame(units[["y", "x"]]))
     names = np.sort(frame.feature.unique())
@@ -179,13 +229,14 @@ def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neigh
     w, p = by.weight.to_numpy(), by.sr_par.to_numpy()
     y, x, level, cost, chance = (units[c].to_numpy() for c in ("y", "x", "level", "cost", "chance"))
     beside = _beside(y, x)
-    near = (beside >= 0).sum(1)
+    near = (beside >= 0).sum(1) if held is None else units["nb8"].to_numpy().copy()
+    more = np.array([(held or {}).get(f, 0.0) for f in names.tolist()])
     ids, wv = np.arange(len(units)), v * w * p if rule == "abf" else v * w
     alive, step, out = np.ones(len(units), bool), 0, []
     while alive.any():
         if alive[ids].sum() * 10 < len(ids) * 9:  # the rows that are left move together
             v, wv, ids = v[alive[ids]], wv[alive[ids]], ids[alive[ids]]
-        r = v.sum(0)
+        r = v.sum(0) + more
         with np.errstate(divide="ignore", invalid="ignore"):
             if rule == "random":
                 delta = chance[ids]
@@ -197,11 +248,15 @@ def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neigh
                 delta = (wv * slope).sum(1)
         may = alive[ids] & (near[ids] < 8) if edge_only else alive[ids]
         can = np.flatnonzero(may & (level[ids] == level[ids[may]].min()))
-        k = min(warp if whole_blocks else max(1, min(warp, len(can) // 100)), len(can))
+        k = min(warp if whole_blocks else max(1, min(warp, (len(can) + outside) // 100)), len(can) + outside)
+        if k > len(can):
+            break
         found = np.round(delta[can] / cost[ids[can]], 9)
         least = np.flatnonzero(found <= np.partition(found, k - 1)[k - 1])
         rows = ids[can[least]]
         chosen = least[np.lexsort((rows, near[rows] if neighbours else np.zeros(len(rows)), found[least]))][:k]
+        if outside and step and found[chosen].max() >= bound * (1 - 1e-12) - 1e-9:  # engines round differently
+            break
         gone = ids[can[chosen]]
         step += 1
         out += [(i, step, place + 1) for place, i in enumerate(gone.tolist())]
@@ -212,17 +267,23 @@ def _kernel(frame: pd.DataFrame, rule: str, warp: int, whole_blocks: bool, neigh
     return pd.DataFrame({"y": y[found[:, 0]], "x": x[found[:, 0]], "round": found[:, 1], "place": found[:, 2]})
 
 
+def _rows(occ: DataFrame, features: DataFrame, rule: str, levels: DataFrame | None, cost: DataFrame | None, seed: int) -> DataFrame:
+    """What ``_kernel`` reads: occurrences with their features' and cells' numbers."""
+    rows = occ.join(F.broadcast(features.select("feature", "weight", "sr_par")), "feature")
+    rows = rows.join(levels, ["y", "x"]).withColumnRenamed("mask_level", "level") if levels is not None else rows.withColumn("level", F.lit(0))
+    rows = rows.join(cost.select("y", "x", "cost"), ["y", "x"]) if cost is not None else rows.withColumn("cost", F.lit(1.0))
+    rows = rows.join(random_deltas(occ, seed).withColumnRenamed("delta", "chance"), ["y", "x"]) if rule == "random" else rows.withColumn("chance", F.lit(0.0))
+    return rows.withColumn("whole", F.lit(1))
+
+
 def rank_small(occ: DataFrame, features: DataFrame, rule: str = "caz", warp: int = 1, levels: DataFrame | None = None, cost: DataFrame | None = None, seed: int = 0, whole_blocks: bool = True, neighbours: bool = False, edge_only: bool = False) -> DataFrame:
     """As ``rank`` for the rules caz, abf and random, in one task: for landscapes of up to some ten million cells
     times features.  Ties go by (delta, y, x), with ``neighbours`` by (delta, present neighbours, y, x); with
     ``edge_only`` only cells next to a missing one can go."""
     if rule not in ("caz", "abf", "random"):
         raise ValueError(f"no kernel for the rule {rule}")
-    rows = occ.join(F.broadcast(features.select("feature", "weight", "sr_par")), "feature")
-    rows = rows.join(levels, ["y", "x"]).withColumnRenamed("mask_level", "level") if levels is not None else rows.withColumn("level", F.lit(0))
-    rows = rows.join(cost.select("y", "x", "cost"), ["y", "x"]) if cost is not None else rows.withColumn("cost", F.lit(1.0))
-    rows = rows.join(random_deltas(occ, seed).withColumnRenamed("delta", "chance"), ["y", "x"]) if rule == "random" else rows.withColumn("chance", F.lit(0.0))
-    return rows.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(lambda frame: _kernel(frame, rule, warp, whole_blocks, neighbours, edge_only), "y int, x int, round int, place int")
+    rows = _rows(occ, features, rule, levels, cost, seed)
+    return rows.groupBy("whole").applyInPandas(lambda frame: _kernel(frame, rule, warp, whole_blocks, neighbours, edge_only), "y int, x int, round int, place int")
 
 
 def replay(occ: DataFrame, order: DataFrame) -> DataFrame:

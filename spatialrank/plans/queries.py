@@ -494,7 +494,7 @@ def greedy_plu_window(f: Fixture) -> DataFrame:
 
 @query()
 def greedy_distributed(f: Fixture) -> DataFrame:
-    """The driver's loop over Spark rounds on the whole landscape, a hundredth of what is left each; tests compare it with the kernel."""
+    """The driver's loop over the whole landscape, a hundredth of what is left in a round, rounds in batches of the cheapest cells; tests compare it with the kernel."""
     n = t_present(f).count()
     return greedy.rank(f.occ, f.features, "caz", warp=-(-n // 4), cost=f.cost)
 

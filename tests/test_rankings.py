@@ -66,3 +66,39 @@ def test_flagship_follows_the_blocks(spark):
     assert got.agg(F.max("step")).first()[0] == f.present.count()
     lost = got.groupBy("feature").agg(F.min("repr").alias("least")).collect()
     assert all(abs(r.least) < 1e-9 for r in lost) and len(lost) == 8
+
+
+@pytest.mark.parametrize("rule", ["caz", "abf", "random"])
+def test_batches_are_single_rounds(spark, rule, monkeypatch):
+    occ = random_occ(spark, 21, size=9)
+    features = features_of(spark, 3, [1, 2, 3])
+    levels = occ.select("y", "x").distinct().withColumn("mask_level", (F.col("x") > 4).cast("int"))
+    cost = levels.select("y", "x", (1.0 + F.col("x") % 3).alias("cost"))
+    sizes, batch = [], greedy._batch
+    monkeypatch.setattr(greedy, "_batch", lambda *a: sizes.append(a[1].count()) or batch(*a))
+    single = lambda levels: sorted(map(tuple, greedy.rank_small(occ, features, rule, 4, levels, cost, 3, neighbours=True).collect()))
+    ranked = lambda levels: sorted(map(tuple, greedy.rank(occ, features, rule, 4, cost, levels, seed=3, whole_blocks=True, batch=66).collect()))
+    # 22 cells at a time leave others out: a batch ends before a round that they could enter
+    assert ranked(None) == single(None)
+    assert sizes[0] == 22 and 1 < len(sizes) < levels.count() / 4
+    if rule == "caz":
+        assert ranked(levels) == single(levels) != single(None)
+
+
+def test_batches_leave_out_rules_that_may_fall(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "_batch", lambda *a: pytest.fail("a batch"))
+    occ = random_occ(spark, 7, size=3)
+    for weights, rule in ([1, 2, -1], "caz"), ([1, 2, 3], "gbf"):
+        assert greedy.rank(occ, features_of(spark, 3, weights), rule, warp=9, whole_blocks=True).count() == occ.select("y", "x").distinct().count()
+
+
+def test_the_loop_takes_few_jobs(spark, monkeypatch):
+    # one removal in a round, hundreds of rounds
+    calls, deltas = [], greedy.round_deltas
+    monkeypatch.setattr(greedy, "round_deltas", lambda *a: calls.append(1) or deltas(*a))
+    got = QUERIES["greedy_distributed"](spark, SF)
+    assert got.agg(F.max("round")).first()[0] > 100 and len(calls) == 1
+    f = Fixture(spark, SF)
+    n = f.present.count()
+    small = greedy.rank_small(f.occ, f.features, "caz", -(-n // 4), cost=f.cost, whole_blocks=False, neighbours=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, small.collect()))
