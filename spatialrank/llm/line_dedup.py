@@ -17,7 +17,8 @@ next), made in ``PASSES`` parts so that only a part of the prefixes is shuffled
 the sets, first with each line's most alike partner, then, where that isn't enough, with its others.  Thousands of
 variants of a line would make all their pairs pass, so before that a linear pass tries each class against the earliest class that shares
 the least or the greatest hash of the prefix with it, in two orders.  A class that this removes needs no partner any more: in the join
-it is only tried as the earlier line of a class that is still there, never against another removed one.
+it is only tried as the earlier line of a later class that is still there, never against another removed one.  Classes have
+numbers in the order of lines, so that the join itself keeps to that.
 
 Defined results: lines without words are never removed.  Null and empty texts stay as they are, with 0 and 0.
 Rows with a null doc_id are documents of their own and come after all others.  Rows that share a doc_id, or have none,
@@ -93,14 +94,14 @@ def _parity(keys: Column, half: int) -> Column:
 
 
 def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
-    """A row for each different set: c (its hash), the place of its first line, n, prefix and bits."""
+    """A row for each different set: the place of its first line, n, prefix and bits."""
     lines = _identified(docs).select("doc", "text_hash", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "content"))
     sets = lines.select(*_PLACE, _keys(F.col("content"), ranks).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * 3 / 4).cast("int") + 1)
     rows = sets.select(F.xxhash64("keys").alias("c"), F.hash("keys").alias("c2"), F.struct(*_PLACE).alias("first"), n.alias("n"), prefix.alias("prefix"), _parity(F.col("keys"), 0).alias("bits"), _parity(F.col("keys"), 1).alias("more"))
     rows = rows.groupBy("c", "c2").agg(F.min("first").alias("first"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "more")))
-    return rows.where("n > 0").select("c", "first.*", "n", "prefix", "bits", "more")
+    return rows.where("n > 0").select("first.*", "n", "prefix", "bits", "more")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -156,28 +157,30 @@ def _stars(classes: DataFrame) -> DataFrame:
     return stars.select(*(f"{side}_{c}" for side in "xy" for c in _PLACE)).distinct()
 
 
-def _banded(classes: DataFrame, *bands: int) -> DataFrame:
-    """A row for each word of the prefix and each of the size's bands, counted from its own."""
+def _banded(classes: DataFrame, turn: int, *bands: int) -> DataFrame:
+    """A row for each word of the prefix that is in this turn and each of the size's bands, counted from its own."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)))
-    rows = classes.select("c", "n", "bits", "more", F.posexplode("prefix").alias("place", "word"))
-    rows = rows.select("word", "c", "n", (F.col("place") + 1).alias("place"), "bits", "more", F.explode(F.array(*(band + b for b in bands))).alias("band"))
-    return rows.select(F.xxhash64("word", "band").alias("key"), "c", "n", "place", "bits", "more")
+    rows = classes.select("o", "n", "bits", "more", F.posexplode("prefix").alias("place", "word")).where(F.pmod("word", F.lit(PASSES)) == turn)
+    rows = rows.select("word", "o", "n", (F.col("place") + 1).alias("place"), "bits", "more", F.explode(F.array(*(band + b for b in bands))).alias("band"))
+    return rows.select(F.xxhash64("word", "band").alias("key"), "o", "n", "place", "bits", "more")
 
 
 def _near(here: DataFrame, gone: DataFrame, turn: int) -> DataFrame:
-    """Pairs of classes (a, b), of which at least one is ``here``, that pass the filters on a shared word; how much they
-    differ."""
-    part = lambda rows: rows.where(F.pmod("key", F.lit(PASSES)) == turn)
+    """Pairs (later, earlier) of classes that pass the filters on a shared word, with how much they differ; the later is
+    ``here``."""
     n, m, i, j = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place"))
+    x, y = F.col("x_o"), F.col("y_o")
     in_index = lambda size, place: place <= size - F.ceil(size * 6 / 7) + 1
     positional = (F.least(i, j) + F.least(n - i, m - j)) * 7 >= (n + m) * 3
     same = (F.col("x_key") == F.col("y_key")) & _may_link("x_", "y_") & positional
-    x = _prefixed(part(_banded(here, 0)), "x_")
-    larger = (n > m) | ((n == m) & (F.col("x_c") > F.col("y_c")))
+    probes = _prefixed(_banded(here, turn, 0), "x_")
+    larger = (n > m) | ((n == m) & (x > y))
     # the index side holds the shorter lines
-    among = x.join(_prefixed(part(_banded(here, 0, 1).where(in_index(F.col("n"), F.col("place")))), "y_"), same & larger)
-    across = x.join(_prefixed(part(_banded(gone, -1, 0, 1)), "y_"), same & F.when(n < m, in_index(n, i)).otherwise(in_index(m, j)))
-    found = (F.col("x_c").alias("a"), F.col("y_c").alias("b"), (_differ("x_", "y_") / (n + m)).alias("differ"))
+    among = probes.join(_prefixed(_banded(here, turn, 0, 1).where(in_index(F.col("n"), F.col("place"))), "y_"), same & larger)
+    # a removed line is only tried as the earlier one
+    # (coalesced, as a bare comparison would set another scan apart and shuffle the probes twice)
+    across = probes.join(_prefixed(_banded(gone, turn, -1, 0, 1), "y_"), same & F.coalesce(y < x, F.lit(False)) & F.when(n < m, in_index(n, i)).otherwise(in_index(m, j)))
+    found = (F.greatest(x, y).alias("x"), F.least(x, y).alias("y"), (_differ("x_", "y_") / (n + m)).alias("differ"))
     return among.select(*found).union(across.select(*found)).distinct()
 
 
@@ -191,18 +194,19 @@ def removed_firsts(classes: DataFrame, docs: DataFrame, ranks: Column) -> DataFr
     first = _matched(stars, sets)
     scratch.discard(stars, sets)
     marked = classes.join(first.withColumn("gone", F.lit(True)), _PLACE, "left").withColumn("alive", F.col("gone").isNull())
-    marked = scratch.materialize(marked.select("c", *_PLACE, "n", "bits", "more", "prefix", "alive"), "marked")
+    marked = marked.select(*_PLACE, "n", "bits", "more", "prefix", "alive")
+    # numbers in the order of lines: range partitions come in order, and so do the rows of each
+    marked = marked.repartitionByRange(scratch.partitions(spark), *_PLACE).sortWithinPartitions(*_PLACE)
+    marked = scratch.materialize(marked.withColumn("o", F.monotonically_increasing_id()), "marked")
     scratch.discard(classes)
     here, gone = marked.where("alive"), marked.where("NOT alive")
     pairs = []
     for turn in range(PASSES):
         scratch.release(spark)
         pairs.append(scratch.materialize(_near(here, gone, turn), "near"))
-    ends = [_prefixed(marked.select("c", *_PLACE, "alive"), f"{side}_") for side in "ab"]
-    known = reduce(DataFrame.union, pairs).distinct().join(ends[0], F.col("a") == F.col("a_c")).join(ends[1], F.col("b") == F.col("b_c"))
-    turned = _earlier("a_", "b_")
-    known = known.select("differ", *(F.when(turned, F.col(f"{late}_{c}")).otherwise(F.col(f"{early}_{c}")).alias(f"{side}_{c}") for side, late, early in (("x", "b", "a"), ("y", "a", "b")) for c in (*_PLACE, "alive")))
-    known = scratch.materialize(known.where("x_alive").drop("x_alive", "y_alive"), "linepairs")
+    ends = [_prefixed(marked.select("o", *_PLACE), f"{side}_") for side in "xy"]
+    known = reduce(DataFrame.union, pairs).distinct().join(ends[0], F.col("x") == F.col("x_o")).join(ends[1], F.col("y") == F.col("y_o"))
+    known = scratch.materialize(known.select("differ", *_SIDES["x"], *_SIDES["y"]), "linepairs")
     scratch.discard(marked, *pairs)
     scratch.release(spark)
     sets = _sets(known, docs, ranks)

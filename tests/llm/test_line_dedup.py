@@ -55,3 +55,24 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d\nq"), (1, "a b c d\nq"), (2, "A b c d\nz")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed, r.text) for r in line_dedup.dedup(docs).collect()) == [(1, 0, "a b c d\nq"), (1, 0, "a b c d\nq"), (2, 1, "z")]
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_a_removed_line_is_only_an_earlier_partner(spark, monkeypatch):
+    group = [(100 + i, " ".join(f"g{(i * 7 + j) % 9}x{j}" if j in (i % 12, i % 5) else f"g{j}" for j in range(12))) for i in range(60)]
+    rows, kept, write = made(2) + group, [], line_dedup.scratch.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        if name in ("marked", "near"):
+            kept.append((name, out.collect()))
+        return out
+
+    monkeypatch.setattr(line_dedup.scratch, "materialize", noted)
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == brute(rows)
+    (marked,) = (found for name, found in kept if name == "marked")
+    by = {r.o: r for r in marked}
+    place = lambda o: (by[o].doc, by[o].text_hash, by[o].line)
+    pairs = [r for name, found in kept if name == "near" for r in found]
+    assert pairs and len(by) == len(marked) and not all(r.alive for r in marked)
+    assert all(by[r.x].alive and place(r.y) < place(r.x) for r in pairs)
