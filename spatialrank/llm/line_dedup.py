@@ -7,14 +7,15 @@ Words are ordered by rarity: words are hashed to ``BUCKETS`` buckets, whose coun
 a word's place is its bucket's rank and then its hash.  That is one order for all lines, which is all the filters
 need.  Lines with equal sets collapse to a class first.  Then
 
-* prefix: linked sets share a word in the first  n - ceil(3n/4) + 1  of the longer and the first
-  n - ceil(6n/7) + 1  of the shorter,
-* positional: with a shared word at places i and j, the overlap is at most min(i, j) + min(n - i, m - j),
+* prefix: linked sets share a word in the first  n - ceil(3n/4) + 1  of each,
+* positional: linked sets differ in at most (n + m) / 7 words; at the first word they share, at places i and j, they differ in all
+  i + j - 2 words before it, and after it at least in as many as n - i and m - j differ by, and as the parities of the
+  common words differ in, where the shared word is a rare one,
 * length: 4 n >= 3 m, and a bitmap: two parity bitmaps can't differ in more bits than the sets in words
 
-are conditions of one join on the word and the size's band (a factor of 4/3; the shorter line goes to its own and the
-next), made in ``PASSES`` parts so that only a part of the prefixes is shuffled at a time; what passes is verified on
-the sets, first with each line's most alike partner, then, where that isn't enough, with its others.  Thousands of
+are conditions of one join of the prefixes with themselves on the word, in one shuffle, made in ``PASSES`` parts so that only a part
+of the prefixes is shuffled at a time.  A pair is only sought at its first shared word, so few pairs come twice.  What passes is
+verified on the sets, first with each line's most alike partner, then, where that isn't enough, with its others.  Thousands of
 variants of a line would make all their pairs pass, so before that a linear pass tries each class against the earliest class that shares
 the least or the greatest hash of the prefix with it, in two orders.  A class that this removes needs no partner any more: in the join
 it is only tried as the earlier line of a later class that is still there, never against another removed one.  Classes have
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from . import scratch
 
 BUCKETS, PASSES = 1 << 16, 4
+#: Of all words, the share that counts as rare: most words of a prefix are among them.
+SHARE = 0.25
 _LAST = 2**63 - 1
 #: Identifies a line, in the order of lines.
 _PLACE = ["doc", "text_hash", "line"]
@@ -60,14 +63,19 @@ def _plain(text: Column) -> Column:
     return F.lower(F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text))
 
 
-def _ranks(docs: DataFrame) -> Column:
-    """A literal array: the rank of each bucket of words by its count; as long as BUCKETS, whatever the corpus."""
+def _ranks(docs: DataFrame) -> tuple[Column, int]:
+    """A literal array: the rank of each bucket of words by its count; as long as BUCKETS, whatever the corpus.  And the
+    least key of the words after the rarest ``SHARE`` of all."""
     words = docs.select(F.explode(F.split(F.replace(_plain(_text()), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = dict(words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect())
-    rank = [0] * BUCKETS
+    rank, rare, most = [0] * BUCKETS, 0, SHARE * sum(counts.values())
+    bound = 0
     for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
         rank[b] = i >> 1  # 15 bits
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
+        rare += counts.get(b, 0)
+        if rare <= most:
+            bound = i >> 1 << 48
+    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>"), bound
 
 
 def _keys(line: Column, ranks: Column) -> Column:
@@ -82,26 +90,27 @@ def _keys(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
-def _parity(keys: Column, half: int) -> Column:
-    """64 bits, each the parity of the words that fall on it: of all words, or of a half of them."""
+def _parity(keys: Column, bound: int | None = None) -> Column:
+    """64 bits, each the parity of the words that fall on it: of all words, or of those from ``bound`` on."""
     one = F.lit(1).cast("long")
 
     def step(held: Column, k: Column) -> Column:
-        mine = F.shiftrightunsigned(k, 6).bitwiseAND(one) if half else one
+        mine = one if bound is None else F.shiftrightunsigned(F.lit(bound - 1).cast("long") - k, 63)
         return held.bitwiseXOR(F.call_function("shiftleft", mine, k.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate(keys, F.lit(0).cast("long"), step)
 
 
-def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
-    """A row for each different set: the place of its first line, n, prefix and bits."""
+def _classes(docs: DataFrame, ranks: Column, bound: int) -> DataFrame:
+    """A row for each different set: the place of its first line, n, prefix and the parities of all its words (bits) and of
+    its common ones (common)."""
     lines = _identified(docs).select("doc", "text_hash", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "content"))
     sets = lines.select(*_PLACE, _keys(F.col("content"), ranks).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * 3 / 4).cast("int") + 1)
-    rows = sets.select(F.xxhash64("keys").alias("c"), F.hash("keys").alias("c2"), F.struct(*_PLACE).alias("first"), n.alias("n"), prefix.alias("prefix"), _parity(F.col("keys"), 0).alias("bits"), _parity(F.col("keys"), 1).alias("more"))
-    rows = rows.groupBy("c", "c2").agg(F.min("first").alias("first"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "more")))
-    return rows.where("n > 0").select("first.*", "n", "prefix", "bits", "more")
+    rows = sets.select(F.xxhash64("keys").alias("c"), F.hash("keys").alias("c2"), F.struct(*_PLACE).alias("first"), n.alias("n"), prefix.alias("prefix"), _parity(F.col("keys")).alias("bits"), _parity(F.col("keys"), bound).alias("common"))
+    rows = rows.groupBy("c", "c2").agg(F.min("first").alias("first"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "common")))
+    return rows.where("n > 0").select("first.*", "n", "prefix", "bits", "common")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -110,8 +119,8 @@ def _earlier(a: str, b: str) -> Column:
 
 
 def _differ(a: str, b: str) -> Column:
-    """Bits that two lines' 128 parities differ in: those of one half of the words, and of the others."""
-    own, other = F.col(f"{a}more").bitwiseXOR(F.col(f"{b}more")), F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))
+    """Bits that two lines' 128 parities differ in: those of the common words, and of the others."""
+    own, other = F.col(f"{a}common").bitwiseXOR(F.col(f"{b}common")), F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))
     return F.bit_count(own) + F.bit_count(own.bitwiseXOR(other))
 
 
@@ -151,40 +160,35 @@ def _stars(classes: DataFrame) -> DataFrame:
     shifted = lambda by: F.transform("prefix", lambda k: F.shiftleft(k, by))
     orders = [shifted(15), shifted(31)]
     marks = F.array_distinct(F.array(*(end(order) for order in orders for end in (F.array_min, F.array_max))))
-    marked = classes.select(*_PLACE, "n", "bits", "more", marks.alias("marks")).select(*_PLACE, "n", "bits", "more", F.explode("marks").alias("mark"))
-    earliest = marked.groupBy("mark").agg(F.min(F.struct(*_PLACE, "n", "bits", "more")).alias("e")).select("mark", *(F.col(f"e.{c}").alias(f"y_{c}") for c in (*_PLACE, "n", "bits", "more")))
+    marked = classes.select(*_PLACE, "n", "bits", "common", marks.alias("marks")).select(*_PLACE, "n", "bits", "common", F.explode("marks").alias("mark"))
+    earliest = marked.groupBy("mark").agg(F.min(F.struct(*_PLACE, "n", "bits", "common")).alias("e")).select("mark", *(F.col(f"e.{c}").alias(f"y_{c}") for c in (*_PLACE, "n", "bits", "common")))
     stars = _prefixed(marked, "x_").join(earliest, F.col("x_mark") == F.col("mark")).where(_earlier("y_", "x_") & _may_link("x_", "y_"))
     return stars.select(*(f"{side}_{c}" for side in "xy" for c in _PLACE)).distinct()
 
 
-def _banded(classes: DataFrame, turn: int, *bands: int) -> DataFrame:
-    """A row for each word of the prefix that is in this turn and each of the size's bands, counted from its own."""
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)))
-    rows = classes.select("o", "n", "bits", "more", F.posexplode("prefix").alias("place", "word")).where(F.pmod("word", F.lit(PASSES)) == turn)
-    rows = rows.select("word", "o", "n", (F.col("place") + 1).alias("place"), "bits", "more", F.explode(F.array(*(band + b for b in bands))).alias("band"))
-    return rows.select(F.xxhash64("word", "band").alias("key"), "o", "n", "place", "bits", "more")
+def _words(classes: DataFrame, turn: int) -> DataFrame:
+    """A row for each word of the prefix that is in this turn; the lowest bit of code tells whether the class is still there."""
+    code = F.shiftleft("o", 1).bitwiseOR(F.col("alive").cast("long"))
+    rows = classes.select(code.alias("code"), "n", "bits", "common", F.posexplode("prefix").alias("place", "word"))
+    return rows.where(F.pmod("word", F.lit(PASSES)) == turn).select("word", "code", "n", (F.col("place") + 1).alias("place"), "bits", "common")
 
 
-def _near(here: DataFrame, gone: DataFrame, turn: int) -> DataFrame:
+def _near(classes: DataFrame, turn: int, bound: int) -> DataFrame:
     """Pairs (later, earlier) of classes that pass the filters on a shared word, with how much they differ; the later is
-    ``here``."""
-    n, m, i, j = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place"))
-    x, y = F.col("x_o"), F.col("y_o")
-    in_index = lambda size, place: place <= size - F.ceil(size * 6 / 7) + 1
-    positional = (F.least(i, j) + F.least(n - i, m - j)) * 7 >= (n + m) * 3
-    same = (F.col("x_key") == F.col("y_key")) & _may_link("x_", "y_") & positional
-    probes = _prefixed(_banded(here, turn, 0), "x_")
-    larger = (n > m) | ((n == m) & (x > y))
-    # the index side holds the shorter lines
-    among = probes.join(_prefixed(_banded(here, turn, 0, 1).where(in_index(F.col("n"), F.col("place"))), "y_"), same & larger)
-    # a removed line is only tried as the earlier one
-    # (coalesced, as a bare comparison would set another scan apart and shuffle the probes twice)
-    across = probes.join(_prefixed(_banded(gone, turn, -1, 0, 1), "y_"), same & F.coalesce(y < x, F.lit(False)) & F.when(n < m, in_index(n, i)).otherwise(in_index(m, j)))
-    found = (F.greatest(x, y).alias("x"), F.least(x, y).alias("y"), (_differ("x_", "y_") / (n + m)).alias("differ"))
-    return among.select(*found).union(across.select(*found)).distinct()
-
-
-def removed_firsts(classes: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
+    still there."""
+    rows = _words(classes, turn)
+    n, m, i, j, x, y = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place", "x_code", "y_code"))
+    # were this the first word shared, then all words before it would differ, and so many after it
+    before, common = i + j - 2, F.bit_count(F.col("x_common").bitwiseXOR(F.col("y_common")))
+    first = ((before + F.abs((n - i) - (m - j))) * 7 <= n + m) & (x.bitwiseAND(F.lit(1)) == 1) & ((F.col("x_word") >= bound) | ((before + common) * 7 <= n + m))
+    # the cheapest first: a frequent word has many pairs
+    passes = (x > y) & first & (_differ("x_", "y_") * 7 <= n + m)
+    # coalesced, as bare comparisons would set one scan apart and shuffle the words twice
+    pairs = _prefixed(rows, "x_").join(_prefixed(rows, "y_"), (F.col("x_word") == F.col("y_word")) & F.coalesce(passes, F.lit(False)))
+    return pairs.select(F.shiftright(x, 1).alias("x"), F.shiftright(y, 1).alias("y"), (_differ("x_", "y_") / (n + m)).alias("differ")).distinct()
+
+
+def removed_firsts(classes: DataFrame, docs: DataFrame, ranks: Column, bound: int) -> DataFrame:
     """The places of those first lines of classes that have an earlier match of another class; ``classes`` is a written table,
     which goes."""
     spark = docs.sparkSession
@@ -194,16 +198,15 @@ def removed_firsts(classes: DataFrame, docs: DataFrame, ranks: Column) -> DataFr
     first = _matched(stars, sets)
     scratch.discard(stars, sets)
     marked = classes.join(first.withColumn("gone", F.lit(True)), _PLACE, "left").withColumn("alive", F.col("gone").isNull())
-    marked = marked.select(*_PLACE, "n", "bits", "more", "prefix", "alive")
+    marked = marked.select(*_PLACE, "n", "bits", "common", "prefix", "alive")
     # numbers in the order of lines: range partitions come in order, and so do the rows of each
     marked = marked.repartitionByRange(scratch.partitions(spark), *_PLACE).sortWithinPartitions(*_PLACE)
     marked = scratch.materialize(marked.withColumn("o", F.monotonically_increasing_id()), "marked")
     scratch.discard(classes)
-    here, gone = marked.where("alive"), marked.where("NOT alive")
     pairs = []
     for turn in range(PASSES):
         scratch.release(spark)
-        pairs.append(scratch.materialize(_near(here, gone, turn), "near"))
+        pairs.append(scratch.materialize(_near(marked, turn, bound), "near"))
     ends = [_prefixed(marked.select("o", *_PLACE), f"{side}_") for side in "xy"]
     known = reduce(DataFrame.union, pairs).distinct().join(ends[0], F.col("x") == F.col("x_o")).join(ends[1], F.col("y") == F.col("y_o"))
     known = scratch.materialize(known.select("differ", *_SIDES["x"], *_SIDES["y"]), "linepairs")
@@ -232,11 +235,11 @@ def _kept(places: DataFrame, removed: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with n_lines, n_removed, and text without the removed lines."""
     spark, text = docs.sparkSession, _text()
-    ranks = _ranks(docs)
-    classes = scratch.materialize(_classes(docs, ranks), "lineclasses")
+    ranks, bound = _ranks(docs)
+    classes = scratch.materialize(_classes(docs, ranks, bound), "lineclasses")
     scratch.release(spark)
     places = scratch.materialize(classes.select(*_PLACE), "lineplaces")
-    kept = scratch.materialize(_kept(places, removed_firsts(classes, docs, ranks)), "keptlines")
+    kept = scratch.materialize(_kept(places, removed_firsts(classes, docs, ranks, bound)), "keptlines")
     scratch.discard(places)
     scratch.release(spark)
     rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__hash", F.xxhash64(text))
