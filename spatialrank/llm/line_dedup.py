@@ -188,34 +188,24 @@ def _near(classes: DataFrame, turn: int, bound: int) -> DataFrame:
     return pairs.select(F.shiftright(x, 1).alias("x"), F.shiftright(y, 1).alias("y"), (_differ("x_", "y_") / (n + m)).alias("differ")).distinct()
 
 
-def removed_firsts(classes: DataFrame, docs: DataFrame, ranks: Column, bound: int) -> DataFrame:
+def removed_firsts(classes: DataFrame, places: DataFrame, docs: DataFrame, ranks: Column, bound: int) -> DataFrame:
     """The places of those first lines of classes that have an earlier match of another class; ``classes`` is a written table,
-    which goes."""
-    spark = docs.sparkSession
+    which goes, and ``places`` their places and numbers."""
     stars = scratch.materialize(_stars(classes), "stars")
-    scratch.release(spark)
     sets = _sets(stars, docs, ranks)
     first = _matched(stars, sets)
     scratch.discard(stars, sets)
-    marked = classes.join(first.withColumn("gone", F.lit(True)), _PLACE, "left").withColumn("alive", F.col("gone").isNull())
-    marked = marked.select(*_PLACE, "n", "bits", "common", "prefix", "alive")
-    # numbers in the order of lines: range partitions come in order, and so do the rows of each
-    marked = marked.repartitionByRange(scratch.partitions(spark), *_PLACE).sortWithinPartitions(*_PLACE)
-    marked = scratch.materialize(marked.withColumn("o", F.monotonically_increasing_id()), "marked")
+    marked = classes.join(places, _PLACE).join(first.withColumn("gone", F.lit(True)), _PLACE, "left").withColumn("alive", F.col("gone").isNull())
+    marked = scratch.materialize(marked.select(*_PLACE, "n", "bits", "common", "prefix", "alive", "o"), "marked")
     scratch.discard(classes)
-    pairs = []
-    for turn in range(PASSES):
-        scratch.release(spark)
-        pairs.append(scratch.materialize(_near(marked, turn, bound), "near"))
-    ends = [_prefixed(marked.select("o", *_PLACE), f"{side}_") for side in "xy"]
+    pairs = [scratch.materialize(_near(marked, turn, bound), "near") for turn in range(PASSES)]
+    ends = [_prefixed(places, f"{side}_") for side in "xy"]
     known = reduce(DataFrame.union, pairs).distinct().join(ends[0], F.col("x") == F.col("x_o")).join(ends[1], F.col("y") == F.col("y_o"))
     known = scratch.materialize(known.select("differ", *_SIDES["x"], *_SIDES["y"]), "linepairs")
     scratch.discard(marked, *pairs)
-    scratch.release(spark)
     sets = _sets(known, docs, ranks)
     best = known.groupBy(*_SIDES["x"]).agg(F.min(F.struct("differ", *_SIDES["y"])).alias("y")).select(*_SIDES["x"], *(f"y.{c}" for c in _SIDES["y"]))
     second = _matched(best, sets)
-    scratch.release(spark)
     rest = known.join(_prefixed(second, "x_"), _SIDES["x"], "left_anti").join(best, [*_SIDES["x"], *_SIDES["y"]], "left_anti")
     third = _matched(rest.drop("differ"), sets)
     scratch.discard(known, sets)
@@ -232,16 +222,23 @@ def _kept(places: DataFrame, removed: DataFrame) -> DataFrame:
     return held.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), dense.alias("__kept"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with n_lines, n_removed, and text without the removed lines."""
-    spark, text = docs.sparkSession, _text()
+def _kept_lines(docs: DataFrame) -> DataFrame:
     ranks, bound = _ranks(docs)
     classes = scratch.materialize(_classes(docs, ranks, bound), "lineclasses")
-    scratch.release(spark)
-    places = scratch.materialize(classes.select(*_PLACE), "lineplaces")
-    kept = scratch.materialize(_kept(places, removed_firsts(classes, docs, ranks, bound)), "keptlines")
+    # numbers in the order of lines: range partitions come in order, and so do the rows of each
+    places = classes.select(*_PLACE).repartitionByRange(scratch.partitions(docs.sparkSession), *_PLACE).sortWithinPartitions(*_PLACE)
+    places = scratch.materialize(places.withColumn("o", F.monotonically_increasing_id()), "lineplaces")
+    removed = removed_firsts(classes, places, docs, ranks, bound)
+    kept = scratch.materialize(_kept(places.drop("o"), removed), "keptlines")
     scratch.discard(places)
-    scratch.release(spark)
+    return kept
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with n_lines, n_removed, and text without the removed lines."""
+    text = _text()
+    with scratch.prompt(docs.sparkSession):
+        kept = _kept_lines(docs)
     rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__hash", F.xxhash64(text))
     rows = rows.join(kept, ["__doc", "__hash"], "left")
     lines = rows.withColumn("__lines", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")))

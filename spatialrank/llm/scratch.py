@@ -12,6 +12,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,21 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.4)
 
 
+@contextmanager
+def prompt(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of a query as soon as it has ended: for tables that are written once each."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, whatever store it is in."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

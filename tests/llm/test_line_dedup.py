@@ -99,3 +99,12 @@ def test_variants_that_just_miss_a_link_are_few_candidates(spark, monkeypatch):
     assert not any(removed for _, removed, _ in expected.values())
     # of 7,260 pairs
     assert made["linepairs"] < 1500 and made["near"] < 2000
+
+
+def test_shuffle_files_setting_is_as_before(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), line_dedup.scratch.prompt(spark):
+        assert spark.conf.get(key) == "true"
+        1 / 0  # noqa: B018
+    assert spark.conf.get(key) == before
